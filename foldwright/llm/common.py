@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import tempfile
 import uuid
 
@@ -75,3 +76,15 @@ def words_of(text: Column) -> Column:
 
 def utf8(text: Column) -> Column:
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+
+
+def small_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A table of a bounded number of rows that the driver made, as one literal of the plan."""
+    names = [c.split()[0] for c in ddl.split(",")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(f'{a}: {b}' for a, b in (c.split() for c in ddl.split(',')))}>>")))
+
+
+def sized(df: DataFrame, n_rows: int, most: int = 50_000) -> DataFrame:
+    """``df`` marked for broadcast if it has few rows; else the planner decides, and large ones are shuffled."""
+    return F.broadcast(df) if n_rows <= most else df

@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foldwright.llm.mixing import op5_mixing
 from foldwright.llm.packing import op7_packing
+from foldwright.llm.sharding import op6_sharding
 from foldwright.llm.token_counts import op9_token_counts
 from foldwright.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_mixing": op5_mixing,
+    "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
