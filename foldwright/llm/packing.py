@@ -40,11 +40,29 @@ class Encoder:
     def __init__(self, path: str) -> None:
         self.model = tokenizers.Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        vocabulary = self.model.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # bytes of text behind each token
+        for word, i in vocabulary.items():
+            self.width[i] = len(word)
         self.mixed = re.compile(r"\s ")
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: list[str], at_once: int = 2000) -> None:
+        """Remembers the ids of segments; those that a space may follow are encoded in long runs and cut apart by bytes."""
+        odd = [s for s in new if s[0] != " " or s[-1].isspace()]
+        self.known.update(zip(odd, self._encode(odd) if odd else [], strict=True))
+        runs = [s for s in new if s[0] == " " and not s[-1].isspace()]
+        runs = [runs[i : i + at_once] for i in range(0, len(runs), at_once)]
+        for run, x in zip(runs, self.model.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(x.ids, dtype="<u4")
+            ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(s.encode()) for s in run])) + 1
+            raw, begin = ids.tobytes(), 0
+            for s, end in zip(run, ends.tolist(), strict=True):
+                self.known[s] = raw[4 * begin : 4 * end]
+                begin = end
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = []
         whole, cut = [], []
@@ -63,8 +81,7 @@ class Encoder:
         if len(self.known) + len(new) > SEEN:
             self.known.clear()
             new = list({s for _, parts in cut for s in parts})
-        for at in range(0, len(new), 20_000):
-            self.known.update(zip(new[at : at + 20_000], self._encode(new[at : at + 20_000]), strict=True))
+        self._learn(new)
         for i, parts in cut:
             out[i] = b"".join([self.known[s] for s in parts])
         return out

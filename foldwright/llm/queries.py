@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foldwright.llm.mixing import op5_mixing
 from foldwright.llm.packing import op7_packing
+from foldwright.llm.quality import ORACLE_SQL as QUALITY_SQL
+from foldwright.llm.quality import op3_quality
 from foldwright.llm.sharding import op6_sharding
 from foldwright.llm.token_counts import op9_token_counts
 from foldwright.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality": op3_quality,
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
     "op7_packing": op7_packing,
@@ -20,4 +23,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_quality": QUALITY_SQL}
