@@ -1,8 +1,8 @@
 """Quality by weak supervision (operator 3), with DataFrame functions alone.
 
-Rules vote for (1) or against (-1) a document or abstain (0). Documents are counted by their votes, at most 3 ** rules
-patterns; on these counts expectation-maximisation estimates each rule's accuracy and the share of good documents. A
-document's posterior probability of being good decides, in place of passing every rule.
+Rules vote for (1) or against (-1) a document or abstain (0). Documents within the base limits are counted by their votes, at most 3 ** rules
+patterns; on these counts expectation-maximisation estimates each rule's accuracy on good and on bad documents and the
+share of good ones. A document's posterior probability of being good decides, in place of passing every rule.
 
 Defined results: null and blank texts have no words, fail the base limits and get all counts 0; repeated rows give
 repeated results; a null id stays null; with no documents nothing is estimated and the result is empty.
@@ -19,7 +19,7 @@ from foldwright.llm.common import SPACE, saved, table, words_of
 
 SYMBOLS = "#*$%&|<>"
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-OTHERS = ["_lines", "_letters", "_kinds", "_stops"]
+OTHERS = ["_lines", "_letters", "_bare", "_kinds", "_stops"]
 ROUNDS = 20
 
 #: (name, votes against, votes for), SQL over the features that Spark and DuckDB both read.
@@ -29,7 +29,8 @@ RULES: list[tuple[str, str, str]] = [
     ("symbols", "n_symbols * 10 > n_words", "n_symbols * 50 <= n_words"),
     ("lines", "n_dup_lines * 10 > 3 * _lines", "n_dup_lines * 10 <= _lines"),
     ("repeats", "n_repeat_words * 10 > 3 * n_words", "n_repeat_words * 10 <= n_words"),
-    ("letters", "_letters * 10 < 7 * word_chars", "_letters * 100 >= 85 * word_chars"),
+    ("letters", "_letters * 10 < 8 * word_chars", "_letters * 100 >= 90 * word_chars"),
+    ("bare", "_bare * 10 > n_words", "_bare * 50 <= n_words"),
     ("kinds", "_kinds * 10 < n_words AND n_words < 5000", "_kinds * 4 >= n_words OR n_words >= 5000"),
     ("stops", "_stops * 100 < n_words", "_stops * 40 >= n_words AND _stops * 2 <= n_words"),
 ]
@@ -59,6 +60,7 @@ def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
         F.greatest(F.coalesce(F.size(inside), F.lit(0)), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("_line").cast("long").alias("_lines"),
         count(F.regexp_replace("_text", r"[^\p{L}]", "")).alias("_letters"),
+        F.size(F.filter("_words", lambda w: ~w.rlike(r"\p{L}"))).cast("long").alias("_bare"),
         F.size(F.array_distinct("_words")).cast("long").alias("_kinds"),
         (count(F.col("_text")) - count(F.translate("_text", ".!?", ""))).alias("_stops"),
     )
@@ -68,40 +70,53 @@ def votes(rules: list[tuple[str, str, str]] = RULES) -> list[Column]:
     return [F.expr(f"CASE WHEN n_words = 0 THEN -1 WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END").alias(f"_v_{name}") for name, bad, good in rules]
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = ROUNDS) -> tuple[float, list[float]]:
-    """Share of good documents and accuracy of each rule, by expectation-maximisation over counts of vote patterns.
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = ROUNDS) -> tuple[float, list[float], list[float]]:
+    """Share of good documents, and each rule's accuracy on good and on bad ones, by expectation-maximisation over counts of vote patterns.
 
-    Accuracies stay from 0.55 to 0.95 and the share from 0.1 to 0.9; each starts with eight right votes of ten.
+    The limits keep votes for from speaking against: accuracies on good ones from 0.55 to 0.98, on bad ones from one
+    minus that to 0.98, the share from 0.1 to 0.95. Pseudo-counts are ten votes.
     """
-    share, right = 0.7, [0.8] * rules
+    share, on_good, on_bad = 0.85, [0.9] * rules, [0.5] * rules
     for _ in range(rounds):
-        all_, good = 0.0, 0.0
-        hit, cast = [0.0] * rules, [0.0] * rules
+        total, good = 0.0, 0.0
+        sums = [[0.0] * 4 for _ in range(rules)]  # right and cast on good ones, right and cast on bad ones
         for vote, n in patterns:
-            z = math.log(share / (1 - share)) + sum(v * math.log(a / (1 - a)) for v, a in zip(vote, right, strict=True))
-            p = 1 / (1 + math.exp(-z))
-            all_ += n
+            p = 1 / (1 + math.exp(-evidence(vote, share, on_good, on_bad)))
+            total += n
             good += n * p
-            for r, v in enumerate(vote):
+            for x, v in zip(sums, vote, strict=True):
                 if v:
-                    cast[r] += n
-                    hit[r] += n * (p if v > 0 else 1 - p)
-        share = min(0.9, max(0.1, (good + 7) / (all_ + 10)))
-        right = [min(0.95, max(0.55, (h + 8) / (c + 10))) for h, c in zip(hit, cast, strict=True)]
-    return share, right
+                    x[0] += n * p * (v > 0)
+                    x[1] += n * p
+                    x[2] += n * (1 - p) * (v < 0)
+                    x[3] += n * (1 - p)
+        share = min(0.95, max(0.1, (good + 8.5) / (total + 10)))
+        on_good = [min(0.98, max(0.55, (x[0] + 9) / (x[1] + 10))) for x in sums]
+        on_bad = [min(0.98, max(1 - a, (x[2] + 5) / (x[3] + 10))) for x, a in zip(sums, on_good, strict=True)]
+    return share, on_good, on_bad
+
+
+def weights(a: float, b: float) -> tuple[float, float]:
+    """Log odds that a vote for and a vote against add."""
+    return math.log(a / (1 - b)), math.log((1 - a) / b)
+
+
+def evidence(vote: tuple[int, ...], share: float, on_good: list[float], on_bad: list[float]) -> float:
+    return math.log(share / (1 - share)) + sum(weights(a, b)[v < 0] for v, a, b in zip(vote, on_good, on_bad, strict=True) if v)
 
 
 def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """``_id``, the features, base_failed, posterior and kept for each document."""
-    found = saved(features(docs, id_col=id_col, text_col=text_col).select("*", *votes(rules)), "quality")
+    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    found = saved(features(docs, id_col=id_col, text_col=text_col).select("*", *votes(rules), base.alias("base_failed")), "quality")
     names = [f"_v_{name}" for name, _, _ in rules]
-    patterns = sorted((tuple(r[n] for n in names), r["count"]) for r in found.groupBy(*names).count().collect())  # 3 ** rules at most
-    share, right = estimate(patterns, len(rules))
+    patterns = sorted((tuple(r[n] for n in names), r["count"]) for r in found.where("NOT base_failed").groupBy(*names).count().collect())  # 3 ** rules at most
+    share, on_good, on_bad = estimate(patterns, len(rules))
     z = F.lit(math.log(share / (1 - share)))
-    for n, a in zip(names, right, strict=True):
-        z = z + F.col(n) * math.log(a / (1 - a))
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = found.withColumn("base_failed", base).withColumn("posterior", 1 / (1 + F.exp(-z)))
+    for n, a, b in zip(names, on_good, on_bad, strict=True):
+        plus, minus = weights(a, b)
+        z = z + F.when(F.col(n) > 0, plus).when(F.col(n) < 0, minus).otherwise(0.0)
+    out = found.withColumn("posterior", 1 / (1 + F.exp(-z)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= least))
 
 
@@ -115,25 +130,27 @@ def _oracle() -> str:
     space, n = r"[\x20\x09-\x0D]", len(RULES)
     vote = ", ".join(f"CASE WHEN n_words = 0 THEN -1 WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS v{i}" for i, (_, bad, good) in enumerate(RULES))
     names = ", ".join(f"v{i}" for i in range(n))
-    steps = ["p0 AS MATERIALIZED (SELECT CAST(0.7 AS DOUBLE) AS s, " + ", ".join(f"CAST(0.8 AS DOUBLE) AS a{i}" for i in range(n)) + ")"]
-    z = "ln(s / (1 - s)) + " + " + ".join(f"v{i} * ln(a{i} / (1 - a{i}))" for i in range(n))
+    steps = ["p0 AS MATERIALIZED (SELECT CAST(0.85 AS DOUBLE) AS s, " + ", ".join(f"CAST(0.9 AS DOUBLE) AS a{i}, CAST(0.5 AS DOUBLE) AS b{i}" for i in range(n)) + ")"]
+    z = "ln(s / (1 - s)) + " + " + ".join(f"CASE WHEN v{i} > 0 THEN ln(a{i} / (1 - b{i})) WHEN v{i} < 0 THEN ln((1 - a{i}) / b{i}) ELSE 0 END" for i in range(n))
     for k in range(1, ROUNDS + 1):
-        right = ", ".join(f"least(0.95, greatest(0.55, (sum(CASE WHEN v{i} > 0 THEN c * p WHEN v{i} < 0 THEN c * (1 - p) ELSE 0 END) + 8) / (sum(CASE WHEN v{i} <> 0 THEN c ELSE 0 END) + 10))) AS a{i}" for i in range(n))
-        steps.append(f"p{k} AS MATERIALIZED (SELECT least(0.9, greatest(0.1, (sum(c * p) + 7) / (sum(c) + 10))) AS s, {right} FROM (SELECT *, 1 / (1 + exp(-({z}))) AS p FROM pats, p{k - 1}))")
+        on_good = ", ".join(f"least(0.98, greatest(0.55, (sum(CASE WHEN v{i} > 0 THEN c * p ELSE 0 END) + 9) / (sum(CASE WHEN v{i} <> 0 THEN c * p ELSE 0 END) + 10))) AS a{i}" for i in range(n))
+        on_bad = ", ".join(f"(sum(CASE WHEN v{i} < 0 THEN c * (1 - p) ELSE 0 END) + 5) / (sum(CASE WHEN v{i} <> 0 THEN c * (1 - p) ELSE 0 END) + 10) AS b{i}" for i in range(n))
+        limits = ", ".join(f"a{i}, least(0.98, greatest(1 - a{i}, b{i})) AS b{i}" for i in range(n))
+        steps.append(f"p{k} AS MATERIALIZED (SELECT s, {limits} FROM (SELECT least(0.95, greatest(0.1, (sum(c * p) + 8.5) / (sum(c) + 10))) AS s, {on_good}, {on_bad} FROM (SELECT *, 1 / (1 + exp(-({z}))) AS p FROM pats, p{k - 1})))")
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS MATERIALIZED (SELECT r, u.w, u.i FROM d, LATERAL (SELECT unnest(x) AS w, generate_subscripts(x, 1) AS i FROM (SELECT list_filter(regexp_split_to_array(t, '{space}+'), lambda q: q <> '') AS x)) u),
 g AS (SELECT r, i, w, lead(w, 1) OVER q AS w1, lead(w, 2) OVER q AS w2 FROM w WINDOW q AS (PARTITION BY r ORDER BY i)),
 rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w, w1, w2) AS c FROM g WHERE w2 IS NOT NULL) WHERE c > 1),
 cover AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
-wc AS (SELECT r, count(*) AS n_words, count(DISTINCT w) AS kinds FROM w GROUP BY r),
+wc AS (SELECT r, count(*) AS n_words, count(DISTINCT w) AS kinds, count(*) FILTER (WHERE NOT regexp_matches(w, '\pL')) AS bare FROM w GROUP BY r),
 ln AS (SELECT r, count(*) AS n, count(DISTINCT l) AS k FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE length(regexp_replace(l, '{space}+', '', 'g')) > 0 GROUP BY r),
 f AS MATERIALIZED (SELECT doc_id, coalesce(n_words, 0) AS n_words, length(regexp_replace(t, '{space}+', '', 'g')) AS word_chars,
  length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols, coalesce(ln.n - ln.k, 0) AS n_dup_lines, coalesce(cover.n, 0) AS n_repeat_words,
- coalesce(ln.n, 0) AS _lines, length(regexp_replace(t, '[^\pL]', '', 'g')) AS _letters, coalesce(kinds, 0) AS _kinds, length(t) - length(translate(t, '.!?', '')) AS _stops
+ coalesce(ln.n, 0) AS _lines, length(regexp_replace(t, '[^\pL]', '', 'g')) AS _letters, coalesce(kinds, 0) AS _kinds, coalesce(bare, 0) AS _bare, length(t) - length(translate(t, '.!?', '')) AS _stops
  FROM d LEFT JOIN wc USING (r) LEFT JOIN ln USING (r) LEFT JOIN cover USING (r)),
 v AS MATERIALIZED (SELECT *, {vote} FROM f),
-pats AS MATERIALIZED (SELECT {names}, CAST(count(*) AS DOUBLE) AS c FROM v GROUP BY ALL),
+pats AS MATERIALIZED (SELECT {names}, CAST(count(*) AS DOUBLE) AS c FROM v WHERE NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) GROUP BY ALL),
 {", ".join(steps)}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND post >= 0.5 AS kept FROM (
  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 1 / (1 + exp(-({z}))) AS post FROM v, p{ROUNDS})"""
