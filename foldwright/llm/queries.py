@@ -11,10 +11,12 @@ from foldwright.llm.packing import op7_packing
 from foldwright.llm.quality import ORACLE_SQL as QUALITY_SQL
 from foldwright.llm.quality import op3_quality
 from foldwright.llm.sharding import op6_sharding
+from foldwright.llm.suffix_dedup import op1_suffix_dedup
 from foldwright.llm.token_counts import op9_token_counts
 from foldwright.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_quality": op3_quality,
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
