@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foldwright.llm.mixing import op5_mixing
+from foldwright.llm.ngram_join import op10_ngram_join
 from foldwright.llm.packing import op7_packing
 from foldwright.llm.quality import ORACLE_SQL as QUALITY_SQL
 from foldwright.llm.quality import op3_quality
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_quality": QUALITY_SQL}
