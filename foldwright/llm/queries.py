@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foldwright.llm.mixing import op5_mixing
 from foldwright.llm.ngram_join import op10_ngram_join
+from foldwright.llm.one_bit_ann import op2_one_bit_ann
 from foldwright.llm.packing import op7_packing
 from foldwright.llm.quality import ORACLE_SQL as QUALITY_SQL
 from foldwright.llm.quality import op3_quality
@@ -18,6 +19,7 @@ from foldwright.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_one_bit_ann": op2_one_bit_ann,
     "op3_quality": op3_quality,
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
