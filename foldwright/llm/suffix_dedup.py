@@ -271,11 +271,11 @@ def sorted_suffixes(texts: DataFrame, rest: DataFrame, cuts: list[bytes]) -> Dat
     return placed.groupBy("_bucket").applyInPandas(run, FOUND)
 
 
-def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 40_000) -> DataFrame:
-    """``_id`` (NO_ID for null), ``_raw`` (the text's bytes) and ``_cut``: the runs of strings to remove, for each distinct row."""
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, bucket_rows: int = 40_000) -> DataFrame:
+    """``_id`` (NO_ID for null), ``_raw`` (the text's bytes), ``_cut``: the runs of strings to remove, and the columns ``carry``."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
-    met = scan(rows.where(F.length("_text") >= LENGTH // 4))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"), *(carry or []))
+    met = scan(rows.select("_id", "_hash", "_text").where(F.length("_text") >= LENGTH // 4))
     # marked stretches need no partner, so they are dealt by document
     dealt = met.withColumn("_part", F.when(F.col("_later"), F.xxhash64("_id", "_start")).otherwise(F.col("_gram")))
     gram = Window.partitionBy("_part", "_later")
@@ -287,19 +287,22 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     n = left.count()
     buckets = max(1, -(-n // bucket_rows), min(n // 500, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     cuts = splitters(rows, buckets)
-    texts = rows.select("_id", "_hash", F.encode(F.coalesce("_text", F.lit("")), "UTF-8").alias("_raw"))
+    texts = rows.select("_id", "_hash", F.encode(F.coalesce("_text", F.lit("")), "UTF-8").alias("_raw"), *(carry or []))
     texts = texts.repartition("_id", "_hash")
-    found = sorted_suffixes(texts, left, cuts)
+    found = sorted_suffixes(texts.select("_id", "_hash", "_raw"), left, cuts)
     found = saved(found, "found")
     across = found.where("_n = 0").withColumn("_k", F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_id", "_hash", "_start"))).where("_k > 1").select("_id", "_hash", "_start", F.lit(1).alias("_n"))
     gone = rest.where("_gone").select("_id", "_hash", "_start", "_n").unionByName(found.where("_n > 0").select("_id", "_hash", "_start", "_n")).unionByName(across)
     cut = gone.groupBy("_id", "_hash").agg(F.collect_list(F.struct("_start", "_n")).alias("_cut"))
-    return texts.join(cut, ["_id", "_hash"], "left").select("_id", "_hash", "_raw", "_cut")
+    return texts.join(cut, ["_id", "_hash"], "left").select("_id", "_hash", "_raw", "_cut", *(carry or []))
 
 
-def kept_parts(df: DataFrame, keep: list[str], with_kept: bool) -> DataFrame:
-    """Applies ``_cut`` to ``_raw``: the columns ``keep``, counts, digest, removed spans and, if asked for, what is left."""
-    schema = ", ".join([*(f"{c} {dict(df.dtypes)[c]}" for c in keep), "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin:long,end:long>>", *(["kept binary"] if with_kept else [])])
+def kept_parts(df: DataFrame, keep: list[str], with_kept: bool, whole_chars: bool = False) -> DataFrame:
+    """Applies ``_cut`` to ``_raw``: the columns ``keep``, counts, digest, removed spans and, if asked for, what is left.
+
+    ``whole_chars``: a character that a span removes in part stays.
+    """
+    schema = ", ".join([*(f"`{c}` {dict(df.dtypes)[c]}" for c in keep), "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin:long,end:long>>", *(["kept binary"] if with_kept else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,6 +314,8 @@ def kept_parts(df: DataFrame, keep: list[str], with_kept: bool) -> DataFrame:
                         spans[-1][1] = max(spans[-1][1], end)
                     else:
                         spans.append([start, end])
+                if whole_chars:
+                    spans = [s for s in (_inward(raw, a, b) for a, b in spans) if s[0] < s[1]]
                 left, at = [], 0
                 for a, b in spans:
                     left.append(raw[at:a])
@@ -326,6 +331,14 @@ def kept_parts(df: DataFrame, keep: list[str], with_kept: bool) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def _inward(raw: bytes, begin: int, end: int) -> list[int]:
+    while begin < end and raw[begin] & 0xC0 == 0x80:
+        begin += 1
+    while begin < end < len(raw) and raw[end] & 0xC0 == 0x80:
+        end -= 1
+    return [begin, end]
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = kept_parts(deduplicated(docs), ["_id"], with_kept=False)

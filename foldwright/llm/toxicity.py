@@ -324,10 +324,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return train([(r["_text"], r["_y"]) for r in sorted(rows, key=lambda r: (r["_id"], r["_text"] or ""))])
 
 
-def tag(docs: DataFrame, model: Field, *, text_col: str = "text", chunk_chars: int = 4_000_000) -> DataFrame:
-    """``docs`` with the columns of SCHEMA in a struct ``toxicity``; every whole text is scored where it lies, without a shuffle."""
+def tag(docs: DataFrame, model: Field, *, text_col: str = "text", out_col: str = "toxicity", chunk_chars: int = 4_000_000) -> DataFrame:
+    """``docs`` with the columns of SCHEMA in a struct ``out_col``; every whole text is scored where it lies, without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand weights, bounded by fit's sample
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", SCHEMA)])
+    schema = T.StructType([*docs.schema.fields, T.StructField(out_col, SCHEMA)])
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,7 +343,7 @@ def tag(docs: DataFrame, model: Field, *, text_col: str = "text", chunk_chars: i
                     part, size = [], 0
             out += score_texts(part, shared.value, matcher) if part else []
             kind = pa.struct([("score", pa.float64()), ("n_tokens", pa.int64()), ("n_toxic_tokens", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, type=kind)], names=[*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, type=kind)], names=[*batch.schema.names, out_col])
 
     return docs.mapInArrow(run, schema)
 
