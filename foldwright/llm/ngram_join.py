@@ -75,10 +75,11 @@ class Scheme:
         """Tokens of a set of n of which any similar set shares two (one, if it is so small)."""
         return min(n, n - -(-self.percent * n // 100) + 2)
 
-    def keys(self, tokens: np.ndarray) -> np.ndarray:
+    def keys(self, tokens: np.ndarray) -> tuple[np.ndarray, int]:
+        """Index keys, and the number of frequent tokens in the prefix."""
         n = len(tokens)
         if not n:
-            return tokens
+            return tokens, 0
         at = np.searchsorted(self.frequent, tokens)
         often = np.zeros(n, dtype=bool)
         inside = at < len(self.frequent)
@@ -98,7 +99,7 @@ class Scheme:
             i, j = np.triu_indices(len(common), 1)
             low, high = np.minimum(common[i], common[j]), np.maximum(common[i], common[j])
             out.append(_mixed(low * STEP + _mixed(high)))
-        return np.concatenate(out)
+        return np.unique(np.concatenate(out)), len(common)
 
 
 def _batches(batch: pa.RecordBatch, at: int, chars: int) -> Iterator[tuple[int, list[str | None]]]:
@@ -113,7 +114,7 @@ def _batches(batch: pa.RecordBatch, at: int, chars: int) -> Iterator[tuple[int,
         yield begin, part
 
 
-def frequent_tokens(docs: DataFrame, words: int, most: int = 100_000, share: float = 0.001, least: int = 200) -> np.ndarray:
+def frequent_tokens(docs: DataFrame, words: int, most: int = 100_000, share: float = 0.0002, least: int = 40) -> np.ndarray:
     """Tokens in about ``share`` of all texts or more (``least`` texts at least), rarest first; ``most`` of them at most.
 
     It decides the order of tokens and how they are indexed, not which pairs are found. Counts are of tokens met three times
@@ -141,7 +142,7 @@ def frequent_tokens(docs: DataFrame, words: int, most: int = 100_000, share: flo
 
 
 def sketched(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
-    """(_id, n, _d1, _d2, _keys): set size, digest of the set and index keys of each text."""
+    """(_id, n, _d1, _d2, _keys, _often): set size, digest of the set, index keys and frequent prefix tokens of each text."""
     shared = docs.sparkSession.sparkContext.broadcast(scheme)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,14 +154,14 @@ def sketched(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
                 parts = np.split(tokens, np.cumsum(sizes)[:-1])
                 digest = [xxhash.xxh3_128_intdigest(p.tobytes()) for p in parts]
                 d1, d2 = (np.array([d >> k & (2**64 - 1) for d in digest], dtype=np.uint64).view(np.int64) for k in (0, 64))
-                keys = [np.unique(s.keys(p)).tobytes() for p in parts]
-                yield pa.RecordBatch.from_arrays([ids.slice(begin, len(texts)), pa.array(sizes.astype(np.int64)), pa.array(d1), pa.array(d2), pa.array(keys, type=pa.binary())], names=["_id", "n", "_d1", "_d2", "_keys"])
+                keys, often = zip(*(s.keys(p) for p in parts), strict=True)
+                yield pa.RecordBatch.from_arrays([ids.slice(begin, len(texts)), pa.array(sizes.astype(np.int64)), pa.array(d1), pa.array(d2), pa.array([k.tobytes() for k in keys], type=pa.binary()), pa.array(often, pa.int64())], names=["_id", "n", "_d1", "_d2", "_keys", "_often"])
 
-    return docs.mapInArrow(run, "_id long, n long, _d1 long, _d2 long, _keys binary")
+    return docs.mapInArrow(run, "_id long, n long, _d1 long, _d2 long, _keys binary, _often long")
 
 
 def exploded(classes: DataFrame) -> DataFrame:
-    """(_key, _id, _n) from (_id, n, _keys)."""
+    """(_key, _id, _n, _often) from (_id, n, _keys, _often)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,9 +170,9 @@ def exploded(classes: DataFrame) -> DataFrame:
             for begin in range(0, len(keys), 2000):
                 part, times = keys[begin : begin + 2000], count[begin : begin + 2000]
                 row = pa.array(np.repeat(np.arange(begin, begin + len(part)), times))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *part])), batch.column("_id").take(row), batch.column("n").take(row)], names=["_key", "_id", "_n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *part])), batch.column("_id").take(row), batch.column("n").take(row), batch.column("_often").take(row)], names=["_key", "_id", "_n", "_often"])
 
-    return classes.mapInArrow(run, "_key long, _id long, _n long")
+    return classes.mapInArrow(run, "_key long, _id long, _n long, _often long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -217,15 +218,19 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     scheme = Scheme(percent, frequent_tokens(texts, words))
     sketch = saved(sketched(texts, words, scheme), "sketch")
     known = sketch.where("_id IS NOT NULL AND n > 0")
-    classes = known.groupBy("_d1", "_d2", "n").agg(F.min("_id").alias("_id"), F.max("_keys").alias("_keys"))
+    classes = known.groupBy("_d1", "_d2", "n").agg(F.min("_id").alias("_id"), F.max("_keys").alias("_keys"), F.max("_often").alias("_often"))
     met = exploded(classes).withColumn("_times", F.count("*").over(Window.partitionBy("_key"))).where("_times > 1")
-    index = saved(met.select("_key", "_id", "_n").distinct(), "index")
+    index = saved(met.select("_key", "_id", "_n", "_often"), "index")
     need = index.select("_id").distinct()
     need = saved(need, "need")
     n_need = need.count()
     sets = saved(_sets(texts.join(sized(need, n_need, 200_000), "_id", "left_semi"), words), "sets")
     label = index.select("_id").distinct().withColumn("_component", F.col("_id"))
     fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
+    # of two prefixes, the one that ends first shares with the other text what it shares with its prefix; the rest of
+    # the text can't add more than its length
+    rest = lambda n: n - F.least(n, n - F.ceil(n * percent / 100) + 2)
+    least = lambda a, b: F.ceil((a + b) * percent / (100 + percent)) - F.greatest(rest(a), rest(b))
     links: DataFrame | None = None
 
     def grown(new: DataFrame) -> DataFrame:
@@ -238,11 +243,12 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
 
     for r in range(rounds):
         now = index.join(label, "_id")
-        lead = now.groupBy("_key").agg(F.min_by(F.struct("_id", "_n", "_component"), F.xxhash64("_id", F.lit(r), "_key")).alias("_lead"), F.min("_component").alias("_low"), F.max("_component").alias("_high")).where("_low <> _high").drop("_low", "_high")
+        lead = now.groupBy("_key").agg(F.min_by(F.struct("_id", "_n", "_often", "_component"), F.xxhash64("_id", F.lit(r))).alias("_lead"), F.min("_component").alias("_low"), F.max("_component").alias("_high")).where("_low <> _high").drop("_low", "_high")
         pairs = now.join(lead, "_key").where((F.col("_lead._component") != F.col("_component")) & fits(F.col("_n"), F.col("_lead._n")))
-        pairs = pairs.select(F.least("_id", "_lead._id").alias("_a"), F.greatest("_id", "_lead._id").alias("_b"), "_id").distinct()
-        turn = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("_a", "_b", F.lit(r))))
-        pairs = pairs.withColumn("_turn", turn).where("_turn <= 3").select("_a", "_b").distinct()  # a head start only: the last round is exact
+        pairs = pairs.groupBy("_id", F.col("_lead._id").alias("_b")).agg(F.count("*").alias("_shared"), F.first(least(F.col("_n"), F.col("_lead._n")) - F.least("_often", "_lead._often")).alias("_least"))
+        turn = F.row_number().over(Window.partitionBy("_id").orderBy(F.desc("_shared"), "_b"))
+        # a head start only: the last round is exact
+        pairs = pairs.where("2 * _shared >= _least").withColumn("_turn", turn).where("_turn <= 2").select(F.least("_id", "_b").alias("_a"), F.greatest("_id", "_b").alias("_b")).distinct()
         new = saved(verified(pairs, sets, percent), "links")
         if new.isEmpty():
             break
@@ -251,9 +257,10 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     groups = now.groupBy("_key", "_component").agg(F.count("*").alias("_c"))
     other = groups.select("_key", F.col("_component").alias("_other"))
     cross = groups.select("_key", "_component").join(other, "_key").where("_component < _other")
-    left = now.select("_key", "_component", F.col("_id").alias("_a"), F.col("_n").alias("_na"))
-    right = now.select("_key", F.col("_component").alias("_other"), F.col("_id").alias("_b"), F.col("_n").alias("_nb"))
-    pairs = cross.join(left, ["_key", "_component"]).join(right, ["_key", "_other"]).where(fits(F.col("_na"), F.col("_nb"))).select("_a", "_b").distinct()
+    left = now.select("_key", "_component", F.col("_id").alias("_a"), F.col("_n").alias("_na"), F.col("_often").alias("_fa"))
+    right = now.select("_key", F.col("_component").alias("_other"), F.col("_id").alias("_b"), F.col("_n").alias("_nb"), F.col("_often").alias("_fb"))
+    met = cross.join(left, ["_key", "_component"]).join(right, ["_key", "_other"]).where(fits(F.col("_na"), F.col("_nb")))
+    pairs = met.groupBy("_a", "_b").agg(F.count("*").alias("_shared"), F.first(least(F.col("_na"), F.col("_nb")) - F.least("_fa", "_fb")).alias("_least")).where("_shared >= _least").select("_a", "_b")
     new = saved(verified(pairs, sets, percent), "links")
     if not new.isEmpty():
         label = saved(grown(new), "labels")
