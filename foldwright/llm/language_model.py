@@ -2,7 +2,7 @@
 
 Documents lie in blocks. Each block sends every n-gram it holds once, with its own count, to the partition of the n-gram's
 hash; there the counts of all blocks add up to the count table, which is joined to the blocks' n-grams; each block gets
-the totals of its n-grams back and sums its documents' word scores. Hash ranges go in waves, whose shuffles are freed
+the totals of its n-grams back and sums its documents' word scores. Hash ranges go in waves, whose shuffle files go
 one after another, so the n-grams of all orders never lie on disk together.
 
 A word's score is count(n-gram) / count(history) for the longest n-gram met ``least`` times or more, times ``factor`` for each
@@ -15,7 +15,6 @@ of their own and count; a null id stays null; an empty table gives an empty resu
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
 
@@ -76,7 +75,7 @@ def scores(texts: list[str | None], totals: list[np.ndarray], all_words: int, or
     return count, np.bincount(owner, weights=value, minlength=len(count))
 
 
-def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, factor: float = 0.4, least: int = 2, waves: int = 4, block_chars: int = 4_000_000) -> DataFrame:
+def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, factor: float = 0.4, least: int = 2, waves: int = 4, block_chars: int = 1_500_000) -> DataFrame:
     """(_id, n_words, log_score) of each row."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -132,9 +131,6 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", o
         sent = blocks.mapInArrow(send(wave), "block long, n int, slot int, grams binary, times binary")
         back = saved(sent.groupBy("n", "slot").applyInPandas(total, "block long, n int, slot int, totals binary"), "totals")
         answers = back if answers is None else answers.unionByName(back)
-        del sent
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()  # lets Spark drop the wave's shuffle files
     size = F.expr("aggregate(texts, 0L, (n, t) -> n + coalesce(regexp_count(t, '[^\\\\x20\\\\x09-\\\\x0D]+'), 0))")
     all_words = blocks.agg(F.sum(size)).first()[0] or 0
     got = answers.groupBy("block").agg(F.collect_list(F.struct("n", "slot", "totals")).alias("got"))
