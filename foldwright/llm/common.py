@@ -46,14 +46,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     if not _made:
         atexit.register(_clean)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_path = path
+    return out
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes the files of a table made by ``saved``; only for tables that nothing lazy still reads."""
-    spark = df.sparkSession
-    roots = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for item in [x for x in _made if any(r.split(":", 1)[-1].lstrip("/") == x[1].split(":", 1)[-1].lstrip("/") for r in roots)]:
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables made by ``saved`` that nothing reads any more, lazy results included."""
+    for df in tables:
+        item = (df.sparkSession, df._saved_path)
         _delete(*item)
         _made.remove(item)
 

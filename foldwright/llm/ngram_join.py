@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import saved, sized, table
+from foldwright.llm.common import forget, saved, sized, table
 from foldwright.llm.suffix_dedup import _inverse_powers, _mixed, prefix_hashes, span_hash
 
 SPACES = np.zeros(256, dtype=bool)
@@ -204,7 +204,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.withColumn("_m", low).where("_v > _u").select(F.col("_v").alias("_u"), F.col("_m").alias("_v")).distinct()
         small = large.withColumn("_m", F.min("_v").over(Window.partitionBy("_u")))
         pairs = small.select(F.explode(F.array(F.struct(F.col("_u").alias("u"), F.col("_m").alias("m")), F.struct(F.col("_v").alias("u"), F.col("_m").alias("m")))).alias("e"))
-        edges = saved(pairs.select(F.col("e.u").alias("_u"), F.col("e.m").alias("_v")).where("_u <> _v").distinct(), "edges")
+        old, edges = edges, saved(pairs.select(F.col("e.u").alias("_u"), F.col("e.m").alias("_v")).where("_u <> _v").distinct(), "edges")
+        forget(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("_u", "_v").cast("decimal(38,0)"))).first()
         if now == mark:
             return edges.select(F.col("_u").alias("_id"), F.col("_v").alias("_component")).unionByName(edges.select(F.col("_v").alias("_id"), F.col("_v").alias("_component")).distinct())
@@ -221,10 +222,7 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     classes = known.groupBy("_d1", "_d2", "n").agg(F.min("_id").alias("_id"), F.max("_keys").alias("_keys"), F.max("_often").alias("_often"))
     met = exploded(classes).withColumn("_times", F.count("*").over(Window.partitionBy("_key"))).where("_times > 1")
     index = saved(met.select("_key", "_id", "_n", "_often"), "index")
-    need = index.select("_id").distinct()
-    need = saved(need, "need")
-    n_need = need.count()
-    sets = saved(_sets(texts.join(sized(need, n_need, 200_000), "_id", "left_semi"), words), "sets")
+    need = saved(index.select("_id").distinct(), "need")
     label = index.select("_id").distinct().withColumn("_component", F.col("_id"))
     fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
     # of two prefixes, the one that ends first shares with the other text what it shares with its prefix; the rest of
@@ -233,6 +231,15 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     least = lambda a, b: F.ceil((a + b) * percent / (100 + percent)) - F.greatest(rest(a), rest(b))
     links: DataFrame | None = None
 
+    def checked(pairs: DataFrame) -> DataFrame:
+        """The pairs that link; sets are made for their texts alone and go again."""
+        pairs = saved(pairs, "pairs")
+        ids = saved(pairs.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct(), "ids")
+        sets = saved(_sets(texts.join(sized(ids, ids.count(), 200_000), "_id", "left_semi"), words), "sets")
+        new = saved(verified(pairs, sets, percent), "links")
+        forget(pairs, ids, sets)
+        return new
+
     def grown(new: DataFrame) -> DataFrame:
         """Labels after more links; links between components are enough."""
         nonlocal links
@@ -249,7 +256,7 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
         turn = F.row_number().over(Window.partitionBy("_id").orderBy(F.desc("_shared"), "_b"))
         # a head start only: the last round is exact
         pairs = pairs.where("2 * _shared >= _least").withColumn("_turn", turn).where("_turn <= 2").select(F.least("_id", "_b").alias("_a"), F.greatest("_id", "_b").alias("_b")).distinct()
-        new = saved(verified(pairs, sets, percent), "links")
+        new = checked(pairs)
         if new.isEmpty():
             break
         label = saved(grown(new), "labels")
@@ -261,7 +268,7 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     right = now.select("_key", F.col("_component").alias("_other"), F.col("_id").alias("_b"), F.col("_n").alias("_nb"), F.col("_often").alias("_fb"))
     met = cross.join(left, ["_key", "_component"]).join(right, ["_key", "_other"]).where(fits(F.col("_na"), F.col("_nb")))
     pairs = met.groupBy("_a", "_b").agg(F.count("*").alias("_shared"), F.first(least(F.col("_na"), F.col("_nb")) - F.least("_fa", "_fb")).alias("_least")).where("_shared >= _least").select("_a", "_b")
-    new = saved(verified(pairs, sets, percent), "links")
+    new = checked(pairs)
     if not new.isEmpty():
         label = saved(grown(new), "labels")
     of_class = classes.select("_d1", "_d2", "n", F.col("_id").alias("_class"))
