@@ -104,9 +104,9 @@ class Scheme:
 
 def _batches(batch: pa.RecordBatch, at: int, chars: int) -> Iterator[tuple[int, list[str | None]]]:
     begin, size, part = 0, 0, []
-    for i, t in enumerate(batch.column(at).to_pylist()):
-        part.append(t)
-        size += len(t or "")
+    for i, t in enumerate(batch.column(at)):
+        part.append(t.as_py())
+        size += len(part[-1] or "")
         if size >= chars:
             yield begin, part
             begin, size, part = i + 1, 0, []
@@ -125,7 +125,7 @@ def frequent_tokens(docs: DataFrame, words: int, most: int = 100_000, share: flo
         for batch in batches:
             n = 0
             parts = []
-            for _, texts in _batches(batch, 1, 4_000_000):
+            for _, texts in _batches(batch, 1, 1_000_000):
                 tokens, sizes = shingle_sets(texts, words)
                 t, c = np.unique(tokens, return_counts=True)
                 keep = c >= max(3, share * len(sizes))
@@ -149,7 +149,7 @@ def sketched(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
         s = shared.value
         for batch in batches:
             ids = batch.column(0)
-            for begin, texts in _batches(batch, 1, 4_000_000):
+            for begin, texts in _batches(batch, 1, 1_000_000):
                 tokens, sizes = shingle_sets(texts, words)
                 parts = np.split(tokens, np.cumsum(sizes)[:-1])
                 digest = [xxhash.xxh3_128_intdigest(p.tobytes()) for p in parts]
@@ -280,7 +280,7 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
 def _sets(texts: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, part in _batches(batch, 1, 4_000_000):
+            for begin, part in _batches(batch, 1, 1_000_000):
                 tokens, sizes = shingle_sets(part, words)
                 sets = [p.tobytes() for p in np.split(tokens, np.cumsum(sizes)[:-1])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(part)), pa.array(sets, type=pa.binary())], names=["_id", "_set"])
