@@ -111,20 +111,29 @@ def _attached(document: dict | None, after: dict) -> dict:
     return {**base, "vehicle_uuid": after["vehicle_uuid"], "engine": after["engine"]}
 
 
-def run(events: Iterable[dict], mode: str = INTENDED, state: State | None = None) -> tuple[State, list[dict]]:
-    """Applies events of one aggregate, in order; from the first that fails on, all wait. A row for each event."""
-    state, out, stuck = state or State(), [], False
-    for e in sorted(events, key=lambda e: (e["lsn"], e["item"])):
-        row = {"aggregate": e["aggregate"], "item": e["item"], "status": "blocked", "error": None}
-        if not stuck:
+class Runner:
+    """Applies one aggregate's events as they come, in order; from the first that fails on, all wait."""
+
+    def __init__(self, mode: str = INTENDED, state: State | None = None) -> None:
+        self.mode, self.state, self.stuck = mode, state or State(), False
+
+    def step(self, event: dict) -> dict:
+        row = {"aggregate": event["aggregate"], "item": event["item"], "status": "blocked", "error": None}
+        if not self.stuck:
             try:
-                state, change = fold(state, e, mode)
+                self.state, change = fold(self.state, event, self.mode)
                 row |= {"status": "processed", **(change or {})}
             except OutOfOrder as problem:
                 row |= {"status": "failed", "error": str(problem)}
-                stuck = True
-        out.append(row)
-    return state, out
+                self.stuck = True
+        return row
+
+
+def run(events: Iterable[dict], mode: str = INTENDED, state: State | None = None) -> tuple[State, list[dict]]:
+    """A row for each event of one aggregate, which are sorted first, and the state after them."""
+    runner = Runner(mode, state)
+    rows = [runner.step(e) for e in sorted(events, key=lambda e: (e["lsn"], e["item"]))]
+    return runner.state, rows
 
 
 def next_retry(now_ms: int, failures: int, backoff: Backoff = RETRY) -> int:

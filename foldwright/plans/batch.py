@@ -2,14 +2,18 @@
 
 A life begins with the first event of an aggregate and ends with the parent's removal. Within a life each source's latest image
 is carried forward, the document is cohesive while both are there, and running counts give the revisions. Logs that may
-hold events out of order go through ``by_fold``, the sequential fold for each aggregate.
+hold events out of order go through ``by_fold``, the sequential fold of each aggregate.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from foldwright.operators import fold as sequential
 from foldwright.sources.schema import CHANGE
@@ -73,12 +77,23 @@ def replayed(log: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def by_fold(log: DataFrame, mode: str = sequential.INTENDED) -> DataFrame:
-    """Rows of schema.CHANGE for a log of schema.LOG: the sequential fold of each aggregate, one task at a time an aggregate's events."""
+    """Rows of schema.CHANGE for a log of schema.LOG: the sequential fold over sorted partitions, one shuffle by aggregate.
 
-    def run(_: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        return frame(sequential.run(map(event, part.to_dict("records")), mode)[1])
+    Events stream through; a task holds one aggregate's state and one batch of rows.
+    """
 
-    return log.groupBy("aggregate").applyInPandas(run, CHANGE)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runner, key = None, None
+        for part in batches:
+            out = []
+            for row in part.to_pylist():
+                if runner is None or row["aggregate"] != key:
+                    runner, key = sequential.Runner(mode), row["aggregate"]
+                r = runner.step(event(row))
+                out.append({c: r.get(c) for c in CHANGE.names})
+            yield pa.RecordBatch.from_pylist(out, schema=to_arrow_schema(CHANGE))
+
+    return log.repartition("aggregate").sortWithinPartitions("aggregate", "lsn", "item").mapInArrow(run, CHANGE)
 
 
 def frame(rows: list[dict]) -> pd.DataFrame:
