@@ -100,10 +100,10 @@ def counter(path: str, chunk: int, overlap: int) -> PieceCounter:
     return _counters[key]
 
 
-def count_tokens(docs: DataFrame, model_path: str, *, text_col: str = "text", chunk: int = 8192, overlap: int = 256) -> DataFrame:
-    """``docs`` with ``n_tokens``; texts are counted where they lie, without a shuffle."""
+def count_tokens(docs: DataFrame, model_path: str, *, text_col: str = "text", out_col: str = "n_tokens", chunk: int = 8192, overlap: int = 256) -> DataFrame:
+    """``docs`` with ``out_col`` (a name that they don't have); texts are counted where they lie, without a shuffle."""
     at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(model_path, chunk, overlap)
@@ -112,7 +112,7 @@ def count_tokens(docs: DataFrame, model_path: str, *, text_col: str = "text", ch
             for t in once:
                 once[t] = c.count(t)
             counts = pa.array([once[t] if t else 0 for t in batch.column(at).to_pylist()], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, counts], names=[*batch.schema.names, "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, counts], names=[*batch.schema.names, out_col])
 
     return docs.mapInArrow(run, schema)
 

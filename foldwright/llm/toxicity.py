@@ -325,7 +325,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def tag(docs: DataFrame, model: Field, *, text_col: str = "text", out_col: str = "toxicity", chunk_chars: int = 4_000_000) -> DataFrame:
-    """``docs`` with the columns of SCHEMA in a struct ``out_col``; every whole text is scored where it lies, without a shuffle."""
+    """``docs`` with the columns of SCHEMA in a struct ``out_col`` (a name that they don't have); every whole text is scored where it lies, without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand weights, bounded by fit's sample
     schema = T.StructType([*docs.schema.fields, T.StructField(out_col, SCHEMA)])
     at = docs.columns.index(text_col)

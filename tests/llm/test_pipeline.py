@@ -16,7 +16,7 @@ from test_text_operators import brute_components, brute_removed
 
 import corpus_pipeline as pipeline
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, _id string, _hash string, _h int, kept string"
 
 
 def _rows():
@@ -25,7 +25,8 @@ def _rows():
     texts = [t for t, _ in _labelled()]
     clean = [" ".join(f"c{rng.randint(0, 3000)}" for _ in range(80)) for _ in range(40)]
     clean += [clean[0], clean[1] + " more", passage + " " + clean[2][:200], clean[3][:150] + " " + passage]
-    return [*((i, t, "en", f"s{i % 3}", len(t), 1) for i, t in enumerate(texts)), *((1000 + i, t, "en", f"s{i % 2}" if i % 5 else None, len(t), 1) for i, t in enumerate(clean)), (2000, None, None, None, None, None), (2001, "", "en", "s1", 0, 1), (None, "alone " + clean[4], "en", "s1", 5, 1)]
+    rows = [*((i, t, "en", f"s{i % 3}", len(t), 1) for i, t in enumerate(texts)), *((1000 + i, t, "en", f"s{i % 2}" if i % 5 else None, len(t), 1) for i, t in enumerate(clean)), (2000, None, None, None, None, None), (2001, "", "en", "s1", 0, 1), (None, "alone " + clean[4], "en", "s1", 5, 1)]
+    return [(*r, "x", None, 1, "y") for r in rows]
 
 
 @pytest.fixture(scope="module")
