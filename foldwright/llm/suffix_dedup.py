@@ -35,7 +35,7 @@ WINDOW = LENGTH - GRAM + 1  # grams in a string, and so most strings in a stretc
 RIGHT = LENGTH  # most bytes of a suffix that matter
 LEFT = WINDOW - 1  # most bytes before it
 NO_ID = np.iinfo(np.int64).max
-SEEN = 1_500_000  # stretches a task remembers
+SEEN = 300_000  # stretches a task remembers
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -107,7 +107,7 @@ def stretches(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> dict[str,
 SCAN = "_gram long, _body long, _id long, _hash long, _start int, _n int, _rel int, _later boolean"
 
 
-def scan(docs: DataFrame, batch_bytes: int = 3_000_000) -> DataFrame:
+def scan(docs: DataFrame, batch_bytes: int = 1_500_000) -> DataFrame:
     """Stretches of the texts of ``docs`` (_id, _hash, _text); _later: the task met an equal, earlier one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
