@@ -7,7 +7,8 @@ all pairs index frequent tokens singly, and texts around that length do both, so
 
 Links only matter between components, so rounds with random leaders of each key first join what is plainly near;
 then every pair of texts that share a key and lie in different components is verified on whole sets. Large groups of
-near copies thus never emit all their pairs, and no link between components is lost.
+near copies that link thus never emit all their pairs, and no link between components is lost. Components that share a
+key without linking still meet pair by pair.
 
 Defined results: null texts and texts without words have no shingles, no links and themselves as component; a null id
 has no links and a null component; rows that repeat an id count as linked; repeated rows get the same result.
