@@ -5,6 +5,10 @@ length and its alignment with the signs. A query's inner product with a vector i
 scalars, with an error bound; in each block of a cell only vectors whose upper bound reaches the block's k-th best lower
 bound are reranked by the exact inner product on the original vectors in double precision.
 
+Each query first meets its ``probes`` best cells. Of the others it skips only those where no vector can score as high as
+the k-th best found, by the cell's largest residual; the rest it meets in the same way. So no cell is left out unproven, and
+the work is the square of the table's rows where residuals are long.
+
 Centroids and the rotation are fitted on at most ``SAMPLE`` rows; every row is indexed. Cells are dealt in blocks of
 rows and of queries, so a cell with any share of all rows spreads over tasks.
 
@@ -71,26 +75,34 @@ def estimate(q: np.ndarray, centroid: np.ndarray, book: Codebook, bits: np.ndarr
     return est, np.sqrt((q**2).sum(axis=1))[:, None] * spread[None] + 1e-9
 
 
-def best(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray, est: np.ndarray, err: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each query the k best of a block: (query, ids, exact scores); the bounds choose what is scored."""
-    for i in range(len(q)):
+def best(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray, est: np.ndarray, err: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query the k best of a block: (query, ids, exact scores); the bounds and ``least``, a score that k vectors reach, choose what is scored."""
+    for i in np.flatnonzero((est + err >= least[:, None]).any(axis=1)):
         low, high = est[i] - err[i], est[i] + err[i]
         own = v_id == q_id[i]
         low = np.where(own, -np.inf, low)
-        bar = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
+        bar = max(least[i], np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf)
         some = np.flatnonzero((high >= bar) & ~own)
         score = (v[some] * q[i]).sum(axis=1)
         top = np.lexsort((v_id[some], -score))[:k]
         yield np.full(len(top), q_id[i]), v_id[some][top], score[top]
 
 
+def reachable(q: np.ndarray, centroids: np.ndarray, radius: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Whether a cell (its largest residual ``radius``, -1 if it is empty) can hold a vector that scores ``least`` with a query."""
+    size = np.sqrt((q**2).sum(axis=1))[:, None]
+    most = q @ centroids.T + size * radius[None]
+    slack = 1e-9 * size * (np.sqrt((centroids**2).sum(axis=1)) + radius)[None]  # far above what rounding adds
+    return (radius >= 0)[None] & ~(most + slack < least[:, None])
+
+
 def usable(v: Column) -> Column:
     ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return v.isNotNull() & ok & F.exists(v, lambda x: x != 0)
 
 
 def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", is_query: Column | None = None, k: int = 20, probes: int = 64, eps: float = 3.5) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each row for which ``is_query`` (on ``_id``) holds."""
+    """(query_id, rank, vec_id, score): the k nearest found of each row for which ``is_query`` (on ``_id``) holds; ``probes``: cells met before bounds choose."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"))
     rows = rows.where(F.col("_id").isNotNull() & usable(F.col("_v")))
@@ -118,34 +130,58 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
         for b in batches:
             if len(b):
                 near = np.argsort(-(np.stack(b["_v"]) @ shared.value.centroids.T), axis=1, kind="stable")[:, :probes]
-                yield pd.DataFrame({"_id": np.repeat(b["_id"].to_numpy(), probes), "_v": [v for v in b["_v"] for _ in range(probes)], "_cell": near.ravel().astype(np.int32)})
+                yield pd.DataFrame({"_id": b["_id"], "_v": b["_v"], "_least": -np.inf, "_cells": list(near.astype(np.int32))})
 
+    asked_type = "_id long, _v array<double>, _least double, _cells array<int>"
     coded = saved(rows.mapInPandas(index, "_id long, _v array<double>, _cell int, _bits binary, _length double, _align double"), "codes")
     queries = rows if is_query is None else rows.where(is_query)
     queries = queries.groupBy("_id").agg(F.min("_v").alias("_v")).select("_id", "_v")
-    asked = saved(queries.mapInPandas(probe, "_id long, _v array<double>, _cell int"), "probes")
-    counts = {r["_cell"]: r["count"] for r in coded.groupBy("_cell").count().collect()}
-    wanted = {r["_cell"]: r["count"] for r in asked.groupBy("_cell").count().collect()}
-    blocks = [(c, -(-counts[c] // BLOCK), -(-wanted[c] // BLOCK)) for c in sorted(counts) if c in wanted]
-    grid = lambda: sized(small_table(spark, blocks, "_cell int, _vb int, _qb int"), len(blocks))
-    left = coded.join(grid(), "_cell").withColumn("_r", F.pmod(F.xxhash64("_id", F.lit(3)), F.col("_vb")).cast("int")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_qb") - 1))).drop("_vb", "_qb")
-    right = asked.join(grid(), "_cell").withColumn("_s", F.pmod(F.xxhash64("_id", F.lit(4)), F.col("_qb")).cast("int")).withColumn("_r", F.explode(F.sequence(F.lit(0), F.col("_vb") - 1))).drop("_vb", "_qb")
+    first = saved(queries.mapInPandas(probe, asked_type), "probes")
+    cells = {r["_cell"]: r for r in coded.groupBy("_cell").agg(F.count("*").alias("n"), F.max("_length").alias("radius")).collect()}
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(a) and len(b):
-            v, q = np.stack(a["_v"]), np.stack(b["_v"])
+            v, q, least = np.stack(a["_v"]), np.stack(b["_v"]), b["_least"].to_numpy()
             bits = np.stack([np.frombuffer(x, np.uint8) for x in a["_bits"]])
             for i in range(0, len(q), 256):
                 est, err = estimate(q[i : i + 256], shared.value.centroids[int(a["_cell"].iloc[0])], shared.value, bits, a["_length"].to_numpy(), a["_align"].to_numpy(), eps)
-                out += best(b["_id"].to_numpy()[i : i + 256], q[i : i + 256], a["_id"].to_numpy(), v, est, err, k)
+                out += best(b["_id"].to_numpy()[i : i + 256], q[i : i + 256], a["_id"].to_numpy(), v, est, err, k, least[i : i + 256])
         query, vec, score = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pd.DataFrame({"query_id": query, "vec_id": vec, "score": score})
 
-    key = ["_cell", "_r", "_s"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def met(asked: DataFrame) -> DataFrame:
+        """The k best of each block of the cells that each query asks for."""
+        asked = asked.select("_id", "_v", "_least", F.explode("_cells").alias("_cell"))
+        wanted = {r["_cell"]: r["count"] for r in asked.groupBy("_cell").count().collect()}
+        blocks = [(c, -(-cells[c]["n"] // BLOCK), -(-wanted[c] // BLOCK)) for c in sorted(cells) if c in wanted]
+        grid = lambda: sized(small_table(spark, blocks, "_cell int, _vb int, _qb int"), len(blocks))
+        left = coded.join(grid(), "_cell").withColumn("_r", F.pmod(F.xxhash64("_id", F.lit(3)), F.col("_vb")).cast("int")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_qb") - 1))).drop("_vb", "_qb")
+        right = asked.join(grid(), "_cell").withColumn("_s", F.pmod(F.xxhash64("_id", F.lit(4)), F.col("_qb")).cast("int")).withColumn("_r", F.explode(F.sequence(F.lit(0), F.col("_vb") - 1))).drop("_vb", "_qb")
+        key = ["_cell", "_r", "_s"]
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, "query_id long, vec_id long, score double")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    out = ranked(met(first))
+    if probes == len(book.centroids):
+        return out
+    out = saved(out, "near")
+    radius = np.array([cells[c]["radius"] if c in cells else -1.0 for c in range(len(book.centroids))])
+
+    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                more = reachable(np.stack(b["_v"]), shared.value.centroids, radius, b["_least"].to_numpy())
+                np.put_along_axis(more, np.stack(b["_cells"]).astype(np.int64), False, axis=1)
+                yield pd.DataFrame({"_id": b["_id"], "_v": b["_v"], "_least": b["_least"], "_cells": [np.flatnonzero(x).astype(np.int32) for x in more]})
+
+    bars = out.where(F.col("rank") == k).select(F.col("query_id").alias("_id"), F.col("score").alias("_least"))
+    known = first.drop("_least").join(bars, "_id", "left").select("_id", "_v", F.coalesce("_least", F.lit(float("-inf"))).alias("_least"), "_cells")
+    rest = saved(known.mapInPandas(others, asked_type), "rest")
+    return ranked(out.drop("rank").unionByName(met(rest)))
 
 
 def op2_one_bit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,36 @@ def test_ann_equals_brute_force(spark):
     assert one_bit_ann.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_ann_leaves_no_cell_out_unproven(spark):
+    rng = np.random.default_rng(6)
+    centres = 4 * rng.standard_normal((8, 16))
+    v = np.concatenate([centres[rng.integers(0, 8, 500)] + 0.1 * rng.standard_normal((500, 16)), rng.standard_normal((400, 16))])
+    table = spark.createDataFrame([(i, row) for i, row in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    # 15 cells of which two are met first; bounds of codes this wide leave the cells alone to choose
+    out = one_bit_ann.search(table, is_query=F.col("_id") % 20 == 0, probes=2, eps=1e6).collect()
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in out}
+    want = {}
+    for i in range(0, 900, 20):
+        s = (v * v[i]).sum(axis=1)
+        s[i] = -np.inf
+        want |= {(i, n + 1): int(j) for n, j in enumerate(np.lexsort((np.arange(900), -s))[:20])}
+    assert got == want
+
+
+def test_cells_are_skipped_by_proof():
+    rng = np.random.default_rng(7)
+    v, q = np.repeat(8 * rng.standard_normal((6, 16)), 50, axis=0) + 0.1 * rng.standard_normal((300, 16)), rng.standard_normal((40, 16))
+    book = one_bit_ann.fit(v, 12)
+    cell = one_bit_ann.nearest(v, book.centroids)
+    length = one_bit_ann.encode(v, cell, book)[1]
+    radius = np.array([length[cell == c].max(initial=-1.0) for c in range(12)])
+    s = q @ v.T
+    least = -np.partition(-s, 19, axis=1)[:, 19]
+    open_ = one_bit_ann.reachable(q, book.centroids, radius, least)
+    assert not ((s >= least[:, None]) & ~open_[:, cell]).any() and not open_.all()
+    assert one_bit_ann.reachable(q, book.centroids, radius, np.full(40, -np.inf))[:, radius >= 0].all()
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(4)
     v, q = rng.standard_normal((500, 64)), rng.standard_normal((20, 64))
