@@ -15,12 +15,14 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldwright.llm.common import WORD, saved, sized, small_table, table
 
 CELLS = 1024  # most shards of a source
+LONG = 100_000  # most documents of a source that one task chooses from, long ones first
 
 
 def apportion(weights: Sequence[float], seats: int) -> list[int]:
@@ -122,5 +124,73 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     return out.select("_id", "_source", "_text_hash", "size", "source_size", "target", (F.col("passes") * F.col("size") + words(F.col("_end")) - words(begin)).cast("long").alias("taken"), "passes", (some & (F.col("size") > 0) & (chosen(first + 1) > chosen(first))).alias("extra"))
 
 
+def chosen_whole(weight: np.ndarray, share: float, later: int = 0) -> np.ndarray:
+    """Which documents to take, given long ones first, to get ``share`` of all and of the words that come ``later``.
+
+    By the running remainder, unless what is left to take would then be below zero or more than the documents after it hold.
+    """
+    take, carry = np.zeros(len(weight), dtype=bool), 0.0
+    after = int(weight.sum()) + later
+    left = share * after
+    for i, w in enumerate(weight.tolist()):
+        after -= w
+        carry += share * w
+        over, under = max(0.0, w - left), max(0.0, left - after)
+        if over <= under if over or under else 2 * carry >= w:
+            take[i] = True
+            carry -= w
+            left -= w
+    return take
+
+
+def whole(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weigh: Callable[[int], list[float]] = by_turns, most: int = 3, shard_words: int = 1_048_576, seed: int = 5) -> DataFrame:
+    """(_id, _source, _text_hash, _times): how often to take each document whole, so that a source comes near its target.
+
+    Whole passes go to all; for the rest the documents of at least 1 / LONG of their source's words are chosen first,
+    longest first, and the shorter ones, by shard, take up what these left. A source whose words all lie in documents too
+    long for its target keeps its shortest one. Rows repeating id, source and text are one document as long as all of them;
+    texts without words are taken once. The driver sees one row a source.
+    """
+    spark = docs.sparkSession
+    slim = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.xxhash64(text_col).alias("_text_hash"), n_words(F.col(text_col)).alias("size"))
+    slim = saved(slim.groupBy("_id", "_source", "_text_hash").agg(F.sum("size").alias("_weight")), "whole")
+    sources = slim.groupBy("_source").agg(F.sum("_weight").alias("n")).orderBy(F.col("_source").asc_nulls_last()).collect()
+    sizes = [r["n"] for r in sources]
+    goal = [min(t, most * n) for t, n in zip(targets(sizes, weigh(len(sizes)), most), sizes, strict=True)]
+    passes = [int(t // n) if n else 0 for t, n in zip(goal, sizes, strict=True)]
+    names = [(r["_source"], i, n, max(1, min(CELLS, -(-n // shard_words)))) for i, (r, n) in enumerate(zip(sources, sizes, strict=True))]
+    placed = slim.where("_weight > 0").join(sized(small_table(spark, names, "_name string, _at long, _n long, _shards long"), len(names)), F.col("_source").eqNullSafe(F.col("_name"))).drop("_name")
+    order = F.xxhash64(F.lit(seed), "_id", "_text_hash")
+    placed = placed.withColumn("_order", order).withColumn("_long", F.col("_weight") * LONG >= F.col("_n"))
+    short = {r["_at"]: r["n"] for r in placed.where("NOT _long").groupBy("_at").agg(F.sum("_weight").alias("n")).collect()}
+
+    def choose(part: pa.Table) -> pa.Table:
+        weight, order, text = (part.column(c).to_numpy() for c in ("_weight", "_order", "_text_hash"))
+        part = part.take(pa.array(np.lexsort((text, order, -weight))))
+        share, once = part.column("_share")[0].as_py(), part.column("_passes")[0].as_py()
+        take = chosen_whole(part.column("_weight").to_numpy(), share, part.column("_later")[0].as_py())
+        take[-1] |= "_shard" not in part.column_names and part.column("_later")[0].as_py() == 0 and not take.any() and once == 0 and share > 0
+        return part.select(["_id", "_source", "_text_hash", "_at", "_weight"]).append_column("_times", pa.array(once + take.astype(np.int64)))
+
+    def taken(part: DataFrame, keys: list[str], shares: list[tuple]) -> DataFrame:
+        part = part.join(sized(small_table(spark, shares, "_at long, _share double, _passes long, _later long"), len(shares)), "_at")
+        kinds = dict(slim.dtypes)
+        return part.groupBy(*keys).applyInArrow(choose, f"_id {kinds['_id']}, _source {kinds['_source']}, _text_hash long, _at long, _weight long, _times long")
+
+    rest = [t - p * n for t, p, n in zip(goal, passes, sizes, strict=True)]
+    shares = [(i, r / n, p, short.get(i, 0)) for i, (r, p, n) in enumerate(zip(rest, passes, sizes, strict=True)) if n]
+    out = taken(placed.where("_long"), ["_at"], shares)
+    if short:
+        out = saved(out, "long")
+        got = {r["_at"]: r["n"] for r in out.groupBy("_at").agg(F.sum(F.col("_weight") * F.col("_times")).alias("n")).collect()}
+        words = {i: n - short[i] for i, n in enumerate(sizes) if i in short}
+        left = {i: rest[i] - (got.get(i, 0) - passes[i] * words[i]) for i in short}
+        shares = [(i, min(1.0, max(0.0, left[i] / short[i])), passes[i], 0) for i in sorted(short)]
+        cell = F.pmod(F.xxhash64(F.lit(seed + 1), "_order"), F.col("_shards"))
+        out = out.unionByName(taken(placed.where("NOT _long").withColumn("_shard", cell), ["_at", "_shard"], shares))
+    empty = slim.where("_weight = 0").select("_id", "_source", "_text_hash", F.lit(1).cast("long").alias("_times"))
+    return out.select("_id", "_source", "_text_hash", "_times").unionByName(empty)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select(F.col("_id").alias("doc_id"), "size", "source_size", "target", "taken")

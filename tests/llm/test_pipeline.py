@@ -15,6 +15,7 @@ from test_row_operators import _labelled
 from test_text_operators import brute_components, brute_removed
 
 import corpus_pipeline as pipeline
+from foldwright.llm import mixing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, _id string, _hash string, _h int, kept string"
 
@@ -79,6 +80,28 @@ def test_stages(spark, folder, tmp_path):
     assert ids == Counter({i: n * (len(model.encode(rows[i]["text"] or "", add_special_tokens=False).ids) + 1) for i, n in times.items()})
 
 
+@pytest.mark.parametrize("long", [100_000, 20])
+def test_mixing_comes_near_targets(spark, folder, monkeypatch, long):
+    monkeypatch.setattr(mixing, "LONG", long, raising=False)  # of few, most documents are chosen by shard
+    rng = random.Random(12)
+    sizes = {"a": [2000] * 40 + [rng.randint(5, 60) for _ in range(200)], "b": [30_000, 20_000, *(rng.randint(5, 60) for _ in range(900))], "c": [rng.randint(50, 150) for _ in range(900)], "d": [20_000]}
+    rows = [(s, n) for s, part in sizes.items() for n in part]
+    docs = spark.createDataFrame([(i, " ".join(["w"] * (n - 1) + [f"x{i}"]), "en", s, 1, 1, "x", None, 1, "y") for i, (s, n) in enumerate(rows)], SCHEMA)
+    goal = dict(zip(sizes, mixing.targets([sum(p) for p in sizes.values()], mixing.by_turns(4), 3), strict=True))
+    kept = pipeline.mix_sources(spark, docs, folder).select("source", "doc_id", "text").collect()
+    got = Counter()
+    for r in kept:
+        got[r["source"]] += len(r["text"].split())
+    assert all(abs(got[s] - goal[s]) <= 0.002 * goal[s] + 30 for s in "abc"), (got, goal)
+    assert got["d"] in {20_000, 40_000} and abs(got["d"] - goal["d"]) <= 20_000  # one document: whole or gone
+    assert max(Counter(r["doc_id"] for r in kept).values()) <= 3
+
+
+def test_a_source_of_one_long_text_stays(spark, folder):
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n), "en", s, 1, 1, "x", None, 1, "y") for i, (s, n) in enumerate([("a", 10_000), ("b", 9_000)])], SCHEMA)
+    assert {r["source"] for r in pipeline.mix_sources(spark, docs, folder).select("source").collect()} == {"a", "b"}
+
+
 def test_empty_tables(spark, folder):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in pipeline.STAGES:
