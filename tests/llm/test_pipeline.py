@@ -80,6 +80,21 @@ def test_stages(spark, folder, tmp_path):
     assert ids == Counter({i: n * (len(model.encode(rows[i]["text"] or "", add_special_tokens=False).ids) + 1) for i, n in times.items()})
 
 
+def test_near_copies_tell_rows_not_ids(spark, folder):
+    rng = random.Random(13)
+    text = [" ".join(f"n{rng.randint(0, 10**6)}" for _ in range(60)) for _ in range(8)]
+    rows = [(1, text[0]), (2, text[0] + " more"), (2, text[1]), (2, text[2]), (2, text[2] + " more"), (2, text[1])]  # id 2: a copy of 1, and texts of its own
+    rows += [(0, text[3]), (5, text[3]), (5, text[4]), (4, text[4]), (9, None), (9, None), (9, text[7])]
+    rows += [(None, text[5]), (None, text[5]), (None, text[5] + " more"), (None, text[6]), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 1, "x", None, 1, "y") for i, t in rows], SCHEMA)
+    got = Counter((r["doc_id"], r["text"]) for r in pipeline.drop_near_copies(spark, docs, folder).collect())
+    assert all(n == 1 for n in got.values())
+    fixed = {(1, text[0]), (2, text[1]), (0, text[3]), (4, text[4]), (9, None), (9, text[7]), (None, text[6]), (None, None), (None, "")}
+    assert fixed <= set(got)
+    free = sorted(set(got) - fixed, key=lambda x: x[0] is None)
+    assert [(i, t.removesuffix(" more")) for i, t in free] == [(2, text[2]), (None, text[5])]
+
+
 @pytest.mark.parametrize("long", [100_000, 20])
 def test_mixing_comes_near_targets(spark, folder, monkeypatch, long):
     monkeypatch.setattr(mixing, "LONG", long, raising=False)  # of few, most documents are chosen by shard
