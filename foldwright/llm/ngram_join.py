@@ -1,14 +1,17 @@
 """N-gram Jaccard self-join by token-combination prefixes, and its components (operator 10).
 
-A token is the hash of a shingle. Equal sets collapse into one class first. Tokens are ordered rare ones first; texts
-similar enough share at least two tokens of prefixes extended by one. Rare tokens of the prefix are indexed singly,
-frequent ones (a global class) by their pairs; whatever two similar texts share there, they meet. Texts too long for
-all pairs index frequent tokens singly, and texts around that length do both, so no pair is missed.
-
-Links only matter between components, so rounds with random leaders of each key first join what is plainly near;
-then every pair of texts that share a key and lie in different components is verified on whole sets. Large groups of
-near copies that link thus never emit all their pairs, and no link between components is lost. Components that share a
-key without linking still meet pair by pair.
+A token is the hash of a shingle. Equal sets collapse into one class first. Tokens are ordered rare ones first. Of two
+similar sets the k smallest shared tokens lie in both prefixes extended by k. Rare tokens of the prefix are indexed singly.
+Frequent ones (a global class) fall into g buckets by hash and are indexed by the pairs within a bucket; with k = g + 1 two
+shared tokens meet in one bucket, so no pair of similar sets is missed. g grows with the set, which keeps its pairs in
+proportion to its size.
+
+Links only matter between components, so rounds with a leader of each key first join what is plainly near. Then sets
+that share a key in different components meet if sizes and 256-bit parities of the sets allow a link, and are verified on
+whole sets. A key with more than HOT members is not met pair by pair. It is split by further tokens: its members are
+compared with one leader, and two that link are either both linked to the leader, or share a token of their differences
+from it. Prefixes of these differences (rare ones first) are the new keys. So a large group of near copies, linked or not,
+emits neither all its pairs nor loses a link.
 
 Defined results: null texts and texts without words have no shingles, no links and themselves as component; a null id
 has no links and a null component; rows that repeat an id count as linked; repeated rows get the same result.
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldwright.llm.common import forget, saved, sized, table
@@ -30,6 +33,8 @@ from foldwright.llm.suffix_dedup import _inverse_powers, _mixed, prefix_hashes,
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 STEP = np.uint64(0xA0761D6478BD642F)
+HOT = 48  # most members of a key that meet pair by pair
+PARITY = ["_b0", "_b1", "_b2", "_b3"]  # of the set's tokens, by 256 places
 
 
 def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,40 +72,71 @@ def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.nd
 class Scheme:
     """Prefix lengths and index keys for a similarity of percent / 100."""
 
-    def __init__(self, percent: int, frequent: np.ndarray, longest: int = 300) -> None:
-        self.percent, self.longest = percent, longest
+    def __init__(self, percent: int, frequent: np.ndarray) -> None:
+        self.percent = percent
         order = np.argsort(frequent)
-        self.frequent, self.rank = frequent[order], order  # given rarest first
+        self.frequent, self.ranks = frequent[order], order  # given rarest first
+
+    def rank(self, tokens: np.ndarray) -> np.ndarray:
+        """Place among the frequent tokens, -1 for rare ones."""
+        at = np.searchsorted(self.frequent, tokens)
+        out = np.full(len(tokens), -1)
+        inside = at < len(self.frequent)
+        hit = np.flatnonzero(inside)[self.frequent[at[inside]] == tokens[inside]]
+        out[hit] = self.ranks[at[hit]]
+        return out
+
+    def prefix(self, n: int, k: int) -> int:
+        """Tokens of a set of n that hold the k smallest which it shares with a similar set."""
+        return min(n, n + self.percent * n // -100 + k)
 
-    def prefix(self, n: int) -> int:
-        """Tokens of a set of n of which any similar set shares two (one, if it is so small)."""
-        return min(n, n - -(-self.percent * n // 100) + 2)
+    def buckets(self, n: int) -> int:
+        """Buckets of frequent tokens where the smaller of two sets has n: a power of two that grows with n."""
+        most = min(max(1, (n + self.percent * n // -100) // 4), max(1, -(self.percent * n // -100) - 1))
+        return 1 << (most.bit_length() - 1)
 
     def keys(self, tokens: np.ndarray) -> tuple[np.ndarray, int]:
-        """Index keys, and the number of frequent tokens in the prefix."""
+        """Index keys, and the number of frequent tokens in the prefix of one."""
         n = len(tokens)
         if not n:
             return tokens, 0
-        at = np.searchsorted(self.frequent, tokens)
-        often = np.zeros(n, dtype=bool)
-        inside = at < len(self.frequent)
-        often[inside] = self.frequent[at[inside]] == tokens[inside]
-        rank = np.full(n, -1)
-        rank[often] = self.rank[at[often]]
-        p = self.prefix(n)
-        chosen = np.lexsort((tokens, rank))[:p]
-        rare, common = tokens[chosen[~often[chosen]]], tokens[chosen[often[chosen]]]
-        out = [rare]
-        # a set of three tokens or fewer may share one token alone with a similar one
-        alone = n * self.percent < 300 or n * 100 >= self.longest * self.percent
-        pairs = n * self.percent <= self.longest * 100
-        if alone:
-            out.append(common)
-        if pairs and len(common) > 1:
-            i, j = np.triu_indices(len(common), 1)
-            low, high = np.minimum(common[i], common[j]), np.maximum(common[i], common[j])
-            out.append(_mixed(low * STEP + _mixed(high)))
-        return np.unique(np.concatenate(out)), len(common)
+        rank = self.rank(tokens)
+        order = np.lexsort((tokens, rank))
+        first = order[: self.prefix(n, 1)]
+        often = int((rank[first] >= 0).sum())
+        out = [tokens[first[: len(first) - often]]]
+        if n * self.percent < 300:  # so few may share one token alone
+            out.append(tokens[first[len(first) - often :]])
+        g, last = self.buckets(-(self.percent * n // -100)), self.buckets(n)
+        while g <= last:  # those of the smaller set of any similar two
+            common = order[: self.prefix(n, g + 1)]
+            common = tokens[common[rank[common] >= 0]]
+            bucket = _mixed(common ^ STEP) >> np.uint64(40) & np.uint64(g - 1)
+            by = np.lexsort((common, bucket))
+            common, bucket = common[by], bucket[by]
+            for d in range(1, len(common)):
+                low = np.flatnonzero(bucket[d:] == bucket[:-d])
+                if not low.size:
+                    break
+                out.append(_mixed(common[low] * STEP + _mixed(common[low + d])))
+            g *= 2
+        return np.unique(np.concatenate(out)), often
+
+
+def parities(tokens: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """For each set the parity of its tokens at each of 256 places, as four numbers.
+
+    Places where two sets differ are at most as many as tokens in which they differ.
+    """
+    place = _mixed(tokens) >> np.uint64(56)
+    bit = np.uint64(1) << (place & np.uint64(63))
+    has = np.flatnonzero(sizes > 0)
+    out = np.zeros((4, len(sizes)), dtype=np.uint64)
+    if has.size:
+        begin = (np.cumsum(sizes) - sizes)[has]
+        for k in range(4):
+            out[k, has] = np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == k, bit, np.uint64(0)), begin)
+    return [x.view(np.int64) for x in out]
 
 
 def _batches(batch: pa.RecordBatch, at: int, chars: int) -> Iterator[tuple[int, list[str | None]]]:
@@ -143,7 +179,7 @@ def frequent_tokens(docs: DataFrame, words: int, most: int = 100_000, share: flo
 
 
 def sketched(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
-    """(_id, n, _d1, _d2, _keys, _often): set size, digest of the set, index keys and frequent prefix tokens of each text."""
+    """(_id, n, _d1, _d2, _keys, _often, _b0.._b3): set size, digest of the set, index keys, frequent prefix tokens and parities of each text."""
     shared = docs.sparkSession.sparkContext.broadcast(scheme)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,16 +189,15 @@ def sketched(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
             for begin, texts in _batches(batch, 1, 1_000_000):
                 tokens, sizes = shingle_sets(texts, words)
                 parts = np.split(tokens, np.cumsum(sizes)[:-1])
-                digest = [xxhash.xxh3_128_intdigest(p.tobytes()) for p in parts]
-                d1, d2 = (np.array([d >> k & (2**64 - 1) for d in digest], dtype=np.uint64).view(np.int64) for k in (0, 64))
+                d1, d2 = _digests(parts)
                 keys, often = zip(*(s.keys(p) for p in parts), strict=True)
-                yield pa.RecordBatch.from_arrays([ids.slice(begin, len(texts)), pa.array(sizes.astype(np.int64)), pa.array(d1), pa.array(d2), pa.array([k.tobytes() for k in keys], type=pa.binary()), pa.array(often, pa.int64())], names=["_id", "n", "_d1", "_d2", "_keys", "_often"])
+                yield pa.RecordBatch.from_arrays([ids.slice(begin, len(texts)), pa.array(sizes.astype(np.int64)), pa.array(d1), pa.array(d2), pa.array([k.tobytes() for k in keys], type=pa.binary()), pa.array(often, pa.int64()), *map(pa.array, parities(tokens, sizes))], names=["_id", "n", "_d1", "_d2", "_keys", "_often", *PARITY])
 
-    return docs.mapInArrow(run, "_id long, n long, _d1 long, _d2 long, _keys binary, _often long")
+    return docs.mapInArrow(run, "_id long, n long, _d1 long, _d2 long, _keys binary, _often long, _b0 long, _b1 long, _b2 long, _b3 long")
 
 
 def exploded(classes: DataFrame) -> DataFrame:
-    """(_key, _id, _n, _often) from (_id, n, _keys, _often)."""
+    """(_key, _id) from (_id, _keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,9 +206,56 @@ def exploded(classes: DataFrame) -> DataFrame:
             for begin in range(0, len(keys), 2000):
                 part, times = keys[begin : begin + 2000], count[begin : begin + 2000]
                 row = pa.array(np.repeat(np.arange(begin, begin + len(part)), times))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *part])), batch.column("_id").take(row), batch.column("n").take(row), batch.column("_often").take(row)], names=["_key", "_id", "_n", "_often"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *part])), batch.column("_id").take(row)], names=["_key", "_id"])
+
+    return classes.select("_id", "_keys").mapInArrow(run, "_key long, _id long")
+
+
+def difference(x: np.ndarray, lead: np.ndarray, scheme: Scheme) -> tuple[bool, np.ndarray, int]:
+    """Whether two sets link; their difference, in the order of ``lead``'s differences, as far as any set that links
+    with x can need it; and how many of it a set must index.
+
+    Say x and y link and share a token of their differences d(x), d(y) from the lead, and y does not link to the lead. They
+    share o = (|d(x)| + |d(y)| - |x ^ y|) / 2 of these tokens, where |x ^ y| is at most t = |x| (1 - s) / s for a
+    similarity s. As |d(y)| > (1 - s) |y + lead| and |x ^ y| <= (1 - s) |x + y|, o > (|d(x)| - (1 - s) m) / 2 with m the tokens
+    of x outside y and lead, at most t; that many x must index. If y does link to the lead, o >= |d(x)| - t still holds.
+    """
+    rest = 100 - scheme.percent
+    new, gone = np.setdiff1d(x, lead, assume_unique=True), np.setdiff1d(lead, x, assume_unique=True)
+    linked = 100 * (len(x) - len(new)) >= scheme.percent * (len(lead) + len(new))
+    size, most = len(new) + len(gone), rest * len(x) // scheme.percent
+    need = max(1, size - most, -(-(100 * size - rest * min(len(new), most)) // 200))
+    # rare tokens first: new rare ones; missing frequent ones; what many have and the lead hasn't; the lead's own
+    tokens, rank = np.concatenate([new, gone]), np.concatenate([scheme.rank(new), scheme.rank(gone)])
+    there = np.arange(size) >= len(new)
+    kind = np.where(there, np.where(rank >= 0, 1, 3), np.where(rank >= 0, 2, 0))
+    order = np.lexsort((tokens, np.where(there, -rank, rank), kind))
+    index = size - need + 1
+    return linked, tokens[order[: index if linked else max(index, size - max(1, size - most) + 1)]], index
+
+
+def split(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
+    """(_id, _lead, _linked, _key, _own) from pairs (_id, _lead): for each a row without key, and one for each key of the
+    difference; _own: the set indexes the key, else it only looks for others there."""
+    shared = sets.sparkSession.sparkContext.broadcast(scheme)
 
-    return classes.mapInArrow(run, "_key long, _id long, _n long, _often long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leads, rows = batch.column("_lead").to_numpy(), []
+            for x, y, lead in zip(batch.column("_x"), batch.column("_y"), leads.view(np.uint64), strict=True):
+                linked, tokens, index = difference(*(np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y)), shared.value)
+                with np.errstate(over="ignore"):
+                    rows.append((linked, _mixed(_mixed(tokens) + lead * STEP), index))
+            n = np.array([1 + len(k) for _, k, _ in rows], dtype=np.int64)
+            row = pa.array(np.repeat(np.arange(len(rows)), n))
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            key = np.concatenate([np.zeros(0, np.uint64), *(np.append(np.uint64(0), k) for _, k, _ in rows)]).view(np.int64)
+            linked, index = (np.repeat(np.array([r[i] for r in rows], dtype=t), n) for i, t in ((0, bool), (2, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("_id").take(row), batch.column("_lead").take(row), pa.array(linked), pa.array(key, mask=place == 0), pa.array(place <= index)], names=["_id", "_lead", "_linked", "_key", "_own"])
+
+    x = sets.select("_id", F.col("_set").alias("_x"))
+    y = sets.select(F.col("_id").alias("_lead"), F.col("_set").alias("_y"))
+    return pairs.join(x, "_id").join(y, "_lead").select("_id", "_lead", "_x", "_y").mapInArrow(run, "_id long, _lead long, _linked boolean, _key long, _own boolean")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -196,95 +278,160 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(_id, _component): the smallest id reachable, for every id with a link; by large and small stars."""
+    """(_a, _b): each id with a link to a smaller one, and the smallest that it reaches; by large and small stars.
+
+    Smallest neighbours come from partial sums and joins, so a hub's links need not meet in one task.
+    """
     edges = saved(links.select(F.greatest("_a", "_b").alias("_u"), F.least("_a", "_b").alias("_v")).where("_u <> _v").distinct(), "edges")
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("_v").alias("_u"), F.col("_u").alias("_v")))
-        low = F.least(F.min("_v").over(Window.partitionBy("_u")), F.col("_u"))
-        large = both.withColumn("_m", low).where("_v > _u").select(F.col("_v").alias("_u"), F.col("_m").alias("_v")).distinct()
-        small = large.withColumn("_m", F.min("_v").over(Window.partitionBy("_u")))
-        pairs = small.select(F.explode(F.array(F.struct(F.col("_u").alias("u"), F.col("_m").alias("m")), F.struct(F.col("_v").alias("u"), F.col("_m").alias("m")))).alias("e"))
-        old, edges = edges, saved(pairs.select(F.col("e.u").alias("_u"), F.col("e.m").alias("_v")).where("_u <> _v").distinct(), "edges")
-        forget(old)
+        low = both.groupBy("_u").agg(F.min("_v").alias("_m")).select("_u", F.least("_m", "_u").alias("_m"))
+        large = saved(both.where("_v > _u").join(low, "_u").select(F.col("_v").alias("_u"), F.col("_m").alias("_v")).distinct(), "large")
+        least = large.groupBy("_u").agg(F.min("_v").alias("_m"))
+        small = large.join(least, "_u").where("_v <> _m").select(F.col("_v").alias("_u"), F.col("_m").alias("_v"))
+        old, edges = edges, saved(small.unionByName(least.select("_u", F.col("_m").alias("_v"))).where("_u <> _v").distinct(), "edges")
+        forget(old, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("_u", "_v").cast("decimal(38,0)"))).first()
         if now == mark:
-            return edges.select(F.col("_u").alias("_id"), F.col("_v").alias("_component")).unionByName(edges.select(F.col("_v").alias("_id"), F.col("_v").alias("_component")).distinct())
+            return edges.select(F.col("_u").alias("_a"), F.col("_v").alias("_b"))
         mark = now
 
 
-def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85, rounds: int = 3) -> DataFrame:
+def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85, rounds: int = 2, hot: int = HOT) -> DataFrame:
     """(_id, n, _component) for each row; texts link when 100 * intersection >= percent * union of their shingle sets."""
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     scheme = Scheme(percent, frequent_tokens(texts, words))
     sketch = saved(sketched(texts, words, scheme), "sketch")
     known = sketch.where("_id IS NOT NULL AND n > 0")
-    classes = known.groupBy("_d1", "_d2", "n").agg(F.min("_id").alias("_id"), F.max("_keys").alias("_keys"), F.max("_often").alias("_often"))
-    met = exploded(classes).withColumn("_times", F.count("*").over(Window.partitionBy("_key"))).where("_times > 1")
-    index = saved(met.select("_key", "_id", "_n", "_often"), "index")
-    need = saved(index.select("_id").distinct(), "need")
-    label = index.select("_id").distinct().withColumn("_component", F.col("_id"))
-    fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
-    # of two prefixes, the one that ends first shares with the other text what it shares with its prefix; the rest of
-    # the text can't add more than its length
-    rest = lambda n: n - F.least(n, n - F.ceil(n * percent / 100) + 2)
-    least = lambda a, b: F.ceil((a + b) * percent / (100 + percent)) - F.greatest(rest(a), rest(b))
-    links: DataFrame | None = None
+    # a class is known by a number; its texts by the least id and the digest of the set
+    classes = known.groupBy("_d1", "_d2", "n").agg(F.min("_id").alias("_least"), *(F.max(c).alias(c) for c in ("_keys", "_often", *PARITY)))
+    classes = saved(classes.withColumn("_id", F.monotonically_increasing_id()), "classes")
+    members = saved(known.select(F.col("_id").alias("_doc"), "_d1", "_d2", "n").join(classes.select("_d1", "_d2", "n", "_id"), ["_d1", "_d2", "n"]).select("_doc", "n", "_id"), "members")
+    repeats = saved(members.groupBy("_doc").agg(F.min("_id").alias("_b"), F.max("_id").alias("_high"), F.count("*").alias("_c")).where("_c > 1"), "repeats")
+    unique = repeats.isEmpty()
+    times = saved(exploded(classes).groupBy("_key").agg(F.count("*").alias("_times")).where("_times > 1"), "times")
+    index = saved(exploded(classes).join(times, "_key"), "index")
+    of_hot = index.groupBy("_id").agg(F.sum((F.col("_times") > hot).cast("long")).alias("_hot"))
+    need = saved(classes.select("_id", F.col("n").alias("_n"), "_often", *PARITY).join(of_hot, "_id"), "need")
+    n_need = need.count()
+    label = need.withColumn("_component", F.col("_id"))
+
+    def bounded(a: str, b: str) -> Column:
+        """Whether sizes and parities allow the rows named so to link."""
+        n, m = F.col(f"{a}._n"), F.col(f"{b}._n")
+        differ = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in PARITY), F.lit(0))
+        return (F.col(f"{a}._component") != F.col(f"{b}._component")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ * (100 + percent) <= (n + m) * (100 - percent))
+
+    def least(a: str, b: str) -> Column:
+        """Keys that two linked texts share at least.
+
+        Of two prefixes, the one that ends first shares with the other text what it shares with its prefix; the rest of the text
+        can't add more than its length. Frequent tokens are not indexed singly, and hot keys not met here.
+        """
+        n, m = F.col(f"{a}._n"), F.col(f"{b}._n")
+        both = lambda c: F.least(f"{a}.{c}", f"{b}.{c}")
+        return F.ceil((n + m) * percent / (100 + percent)) - (F.ceil(F.greatest(n, m) * percent / 100) - 1) - both("_often") - both("_hot")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        ids = saved(classes.select("_id", F.col("_least").alias("_doc"), "_d1", "_d2").join(ids.distinct(), "_id", "left_semi"), "ids")
+        rows = texts.withColumnRenamed("_id", "_doc").join(sized(ids, ids.count(), 200_000), "_doc").select("_id", "_text", "_d1", "_d2")
+        sets = _sets(rows, words)
+        sets = saved(sets if unique else sets.dropDuplicates(["_id"]), "sets")
+        forget(ids)
+        return sets
 
     def checked(pairs: DataFrame) -> DataFrame:
         """The pairs that link; sets are made for their texts alone and go again."""
         pairs = saved(pairs, "pairs")
-        ids = saved(pairs.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct(), "ids")
-        sets = saved(_sets(texts.join(sized(ids, ids.count(), 200_000), "_id", "left_semi"), words), "sets")
+        sets = sets_of(pairs.select(F.explode(F.array("_a", "_b")).alias("_id")))
         new = saved(verified(pairs, sets, percent), "links")
-        forget(pairs, ids, sets)
+        forget(pairs, sets)
         return new
 
+    links: DataFrame | None = None
+
     def grown(new: DataFrame) -> DataFrame:
         """Labels after more links; links between components are enough."""
         nonlocal links
-        links = new if links is None else links.unionByName(new)
-        found = components(links)
-        links = found.select(F.col("_id").alias("_a"), F.col("_component").alias("_b")).where("_a <> _b")
-        return need.join(found, "_id", "left").select("_id", F.coalesce("_component", "_id").alias("_component"))
-
-    for r in range(rounds):
-        now = index.join(label, "_id")
-        lead = now.groupBy("_key").agg(F.min_by(F.struct("_id", "_n", "_often", "_component"), F.xxhash64("_id", F.lit(r))).alias("_lead"), F.min("_component").alias("_low"), F.max("_component").alias("_high")).where("_low <> _high").drop("_low", "_high")
-        pairs = now.join(lead, "_key").where((F.col("_lead._component") != F.col("_component")) & fits(F.col("_n"), F.col("_lead._n")))
-        pairs = pairs.groupBy("_id", F.col("_lead._id").alias("_b")).agg(F.count("*").alias("_shared"), F.first(least(F.col("_n"), F.col("_lead._n")) - F.least("_often", "_lead._often")).alias("_least"))
-        turn = F.row_number().over(Window.partitionBy("_id").orderBy(F.desc("_shared"), "_b"))
-        # a head start only: the last round is exact
-        pairs = pairs.where("2 * _shared >= _least").withColumn("_turn", turn).where("_turn <= 2").select(F.least("_id", "_b").alias("_a"), F.greatest("_id", "_b").alias("_b")).distinct()
+        links = components(new if links is None else links.unionByName(new))
+        return saved(need.join(links.select(F.col("_a").alias("_id"), F.col("_b").alias("_component")), "_id", "left").withColumn("_component", F.coalesce("_component", "_id")), "labels")
+
+    def mixed_keys(rows: DataFrame) -> DataFrame:
+        """The rows of keys whose members lie in several components, with all of their labels."""
+        rows = rows.join(sized(label, n_need, 200_000), "_id")
+        several = rows.groupBy("_key").agg(F.min("_component").alias("_low"), F.max("_component").alias("_high")).where("_low <> _high").select("_key")
+        return rows.join(several, "_key")
+
+    if not unique:  # rows that repeat an id are linked
+        twice = repeats.where("_b <> _high").select("_doc", "_b")
+        label = grown(saved(members.join(twice, "_doc").where("_id <> _b").select(F.col("_id").alias("_a"), "_b").distinct(), "links"))
+    for r in range(rounds):  # a head start only: what follows is exact
+        now = index.join(sized(label, n_need, 200_000), "_id")
+        # the first leader has the most frequent tokens, so that a group's original leads it
+        turn = F.struct(F.col("_often") if r == 0 else F.lit(0), F.xxhash64("_id", F.lit(r)))
+        lead = now.groupBy("_key").agg(F.max_by(F.struct(*label.columns), turn).alias("_lead"), F.min("_component").alias("_low"), F.max("_component").alias("_high")).where("_low <> _high").select("_key", "_lead")
+        met = now.select("_key", F.struct(*label.columns).alias("_own")).join(lead, "_key").where(bounded("_own", "_lead"))
+        pairs = met.groupBy(F.col("_own._id").alias("_a"), F.col("_lead._id").alias("_b")).agg(F.count("*").alias("_shared"), F.first(least("_own", "_lead") + F.least("_own._hot", "_lead._hot")).alias("_least"))
+        best = F.row_number().over(Window.partitionBy("_a").orderBy(F.desc("_shared"), "_b"))
+        pairs = pairs.where("2 * _shared >= _least").withColumn("_turn", best).where("_turn <= 2").select("_a", "_b").distinct()
         new = checked(pairs)
         if new.isEmpty():
             break
-        label = saved(grown(new), "labels")
-    now = saved(index.join(label, "_id"), "now")
-    groups = now.groupBy("_key", "_component").agg(F.count("*").alias("_c"))
-    other = groups.select("_key", F.col("_component").alias("_other"))
-    cross = groups.select("_key", "_component").join(other, "_key").where("_component < _other")
-    left = now.select("_key", "_component", F.col("_id").alias("_a"), F.col("_n").alias("_na"), F.col("_often").alias("_fa"))
-    right = now.select("_key", F.col("_component").alias("_other"), F.col("_id").alias("_b"), F.col("_n").alias("_nb"), F.col("_often").alias("_fb"))
-    met = cross.join(left, ["_key", "_component"]).join(right, ["_key", "_other"]).where(fits(F.col("_na"), F.col("_nb")))
-    pairs = met.groupBy("_a", "_b").agg(F.count("*").alias("_shared"), F.first(least(F.col("_na"), F.col("_nb")) - F.least("_fa", "_fb")).alias("_least")).where("_shared >= _least").select("_a", "_b")
+        label = grown(new)
+
+    apart: DataFrame | None = None
+    groups = saved(mixed_keys(index.where(F.col("_times") > hot)).select("_key", "_id", "_often", "_hot"), "hot")
+    if not groups.isEmpty():
+        # the member with the most hot keys leads: of near copies, one that has what most have
+        lead = groups.groupBy("_key").agg(F.max_by("_id", F.struct("_hot", "_often", F.xxhash64("_id"))).alias("_lead"))
+        led = saved(groups.select("_key", "_id").join(lead, "_key").where("_id <> _lead").select("_id", "_lead").distinct(), "led")
+        sets = sets_of(led.select("_id").unionByName(led.select(F.col("_lead").alias("_id"))))
+        apart = saved(split(led, sets, scheme), "apart")
+        forget(led, sets)
+        new = saved(apart.where("_key IS NULL AND _linked").select(F.col("_id").alias("_a"), F.col("_lead").alias("_b")), "links")
+        label = grown(new) if not new.isEmpty() else label
+    forget(groups)
+
+    now = saved(mixed_keys(index.where(F.col("_times") <= hot)).drop("_times"), "now")
+    two = (F.col("x._id") < F.col("y._id")) & bounded("x", "y")
+    pairs = now.alias("x").join(now.alias("y"), (F.col("x._key") == F.col("y._key")) & two)
+    pairs = pairs.groupBy(F.col("x._id").alias("_a"), F.col("y._id").alias("_b")).agg(F.count("*").alias("_shared"), F.first(least("x", "y")).alias("_least")).where("_shared >= _least").select("_a", "_b")
+    if apart is not None:
+        rest = saved(mixed_keys(apart.where("_key IS NOT NULL").drop("_lead")), "rest")
+        # of two, one at least does not link to the lead; it may look where it does not index
+        roles = (~F.col("x._linked") | ~F.col("y._linked")) & (F.col("x._own") | F.col("y._own")) & (F.col("x._own") | F.col("y._linked")) & (F.col("y._own") | F.col("x._linked"))
+        more = rest.alias("x").join(rest.alias("y"), (F.col("x._key") == F.col("y._key")) & two & roles)
+        pairs = pairs.unionByName(more.select(F.col("x._id").alias("_a"), F.col("y._id").alias("_b"))).distinct()
     new = checked(pairs)
     if not new.isEmpty():
-        label = saved(grown(new), "labels")
-    of_class = classes.select("_d1", "_d2", "n", F.col("_id").alias("_class"))
-    whole = known.join(of_class, ["_d1", "_d2", "n"]).join(label.withColumnRenamed("_id", "_class"), "_class", "left").select("_id", "n", F.coalesce("_component", "_class").alias("_component"))
+        grown(new)
+    lowest = classes.select("_id", "_least")
+    if links is not None:
+        rooted = lowest.join(links.select(F.col("_a").alias("_id"), F.col("_b").alias("_root")), "_id", "left").withColumn("_root", F.coalesce("_root", "_id"))
+        lowest = rooted.select("_id", "_root").join(rooted.groupBy("_root").agg(F.min("_least").alias("_least")), "_root").select("_id", "_least")
+    whole = members.join(lowest, "_id").select(F.col("_doc").alias("_id"), "n", F.col("_least").alias("_component"))
     alone = sketch.where("_id IS NULL OR n = 0").select("_id", "n", F.col("_id").alias("_component"))
     return whole.unionByName(alone)
 
 
+def _digests(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    digest = [xxhash.xxh3_128_intdigest(p.tobytes()) for p in parts]
+    return tuple(np.array([d >> k & (2**64 - 1) for d in digest], dtype=np.uint64).view(np.int64) for k in (0, 64))
+
+
 def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """(_id, _set) from (_id, _text, _d1, _d2): the sets with the digest that is asked for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, part in _batches(batch, 1, 1_000_000):
                 tokens, sizes = shingle_sets(part, words)
-                sets = [p.tobytes() for p in np.split(tokens, np.cumsum(sizes)[:-1])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(part)), pa.array(sets, type=pa.binary())], names=["_id", "_set"])
+                parts = np.split(tokens, np.cumsum(sizes)[:-1])
+                d1, d2 = _digests(parts)
+                asked = [batch.column(c).slice(begin, len(part)).to_numpy() for c in (2, 3)]
+                out = pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(part)), pa.array([p.tobytes() for p in parts], type=pa.binary())], names=["_id", "_set"])
+                yield out.filter(pa.array((d1 == asked[0]) & (d2 == asked[1])))
 
     return texts.mapInArrow(run, "_id long, _set binary")
 

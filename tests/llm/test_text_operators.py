@@ -264,3 +264,63 @@ def test_ngram_join_odd_rows(spark):
     got = Counter(tuple(r) for r in ngram_join.linked(df).select("_id", "n", "_component").collect())
     assert got == Counter({(5, 27, 2): 2, (2, 27, 2): 1, (None, 27, None): 1, (7, 0, 7): 1, (8, 0, 8): 1, (9, 1, 9): 1, (10, 1, 9): 1})
     assert ngram_join.linked(empty(spark)).count() == 0
+
+
+def test_ngram_join_splits_hot_keys(spark):
+    """Groups of near copies of which most don't link, a passage in many texts, and ids that repeat."""
+    import random
+
+    rng = random.Random(3)
+    data = []
+    for size, most, n in ((160, 9, 90), (60, 30, 400)):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+        for _ in range(size):
+            copy = base[:]
+            for _ in range(rng.randint(0, most)):
+                at = rng.randrange(len(copy))
+                copy[at : at + 1] = rng.choice([[f"e{rng.randint(0, 10**6)}"], [], [copy[at], f"e{rng.randint(0, 30)}"]])
+            data.append((len(data), " ".join(copy)))
+    passage = " ".join(f"p{i}" for i in range(50))
+    for _ in range(90):
+        data.append((len(data), " ".join(f"o{rng.randint(0, 40)}" for _ in range(rng.randint(0, 6))) + " " + passage + " " + " ".join(f"o{rng.randint(0, 10**6)}" for _ in range(rng.randint(0, 12)))))
+    for percent, words_ in ((85, 4), (80, 5)):
+        want = brute_components(data, words_, percent)
+        df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+        assert {r["_id"]: (r["n"], r["_component"]) for r in ngram_join.linked(df, words=words_, percent=percent, hot=6, rounds=1).collect()} == want
+    own = " ".join(f"q{i}" for i in range(40))
+    df = spark.createDataFrame([(1, own), (2, own + " more"), (2, passage), (3, passage + " more"), (4, "else"), (4, "else")], "doc_id long, text string")
+    assert {(r["_id"], r["n"], r["_component"]) for r in ngram_join.linked(df).collect()} == {(1, 37, 1), (2, 38, 1), (2, 47, 1), (3, 48, 1), (4, 1, 4)}
+
+
+def test_differences_from_a_leader_lose_no_link():
+    """Of two sets that link, both link to the leader or their keys meet as the join asks."""
+    rng = np.random.default_rng(4)
+    for percent in (85, 80, 60):
+        met = 0
+        for _ in range(3000):
+            lead = rng.choice(10**6, rng.integers(5, 60), replace=False).astype(np.uint64)
+            base = np.union1d(rng.choice(lead, rng.integers(1, len(lead) + 1), replace=False), rng.choice(10**6, rng.integers(0, 15), replace=False).astype(np.uint64))
+            x, y = (np.union1d(base[rng.random(len(base)) > rng.choice([0, 0.03, 0.1])], rng.choice(10**6, rng.integers(0, 5), replace=False).astype(np.uint64)) for _ in range(2))
+            same = len(np.intersect1d(x, y))
+            if not same or 100 * same < percent * (len(x) + len(y) - same):
+                continue
+            scheme = ngram_join.Scheme(percent, rng.permutation(np.union1d(lead, base))[: rng.integers(0, 40)])
+            (lx, kx, ix), (ly, ky, iy) = (ngram_join.difference(v, np.sort(lead), scheme) for v in (x, y))
+            if lx and ly:
+                continue
+            met += 1
+            a, b = (set(k.tolist()) for k in (kx, ky))
+            own_a, own_b = set(kx[:ix].tolist()), set(ky[:iy].tolist())
+            assert (own_a & own_b) if not lx and not ly else (a & own_b) if ly else (own_a & b)
+            g = scheme.buckets(min(len(x), len(y)))
+            assert set(scheme.keys(x)[0].tolist()) & set(scheme.keys(y)[0].tolist()), (len(x), len(y), g)
+        assert met > 100
+
+
+def test_parities_bound_differences():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(0, 200)).astype(np.uint64)) for _ in range(60)]
+    bits = np.stack(ngram_join.parities(np.concatenate(sets), np.array([len(s) for s in sets])))
+    for i in range(60):
+        for j in range(60):
+            assert np.bitwise_count((bits[:, i] ^ bits[:, j]).view(np.uint64)).sum() <= len(np.setxor1d(sets[i], sets[j]))
