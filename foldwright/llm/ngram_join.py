@@ -33,7 +33,7 @@ from foldwright.llm.suffix_dedup import _inverse_powers, _mixed, prefix_hashes,
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 STEP = np.uint64(0xA0761D6478BD642F)
-HOT = 48  # most members of a key that meet pair by pair
+HOT = 1000  # most members of a key that meet pair by pair
 PARITY = ["_b0", "_b1", "_b2", "_b3"]  # of the set's tokens, by 256 places
 
 
@@ -254,7 +254,9 @@ def split(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("_id").take(row), batch.column("_lead").take(row), pa.array(linked), pa.array(key, mask=place == 0), pa.array(place <= index)], names=["_id", "_lead", "_linked", "_key", "_own"])
 
     x = sets.select("_id", F.col("_set").alias("_x"))
-    y = sets.select(F.col("_id").alias("_lead"), F.col("_set").alias("_y"))
+    y = sets.select(F.col("_id").alias("_lead"), F.col("_set").alias("_y")).join(pairs.select("_lead").distinct(), "_lead", "left_semi")
+    if (y.agg(F.sum(F.octet_length("_y"))).first()[0] or 0) <= 32_000_000:  # then no set moves once more for each of its leaders
+        y = F.broadcast(y)
     return pairs.join(x, "_id").join(y, "_lead").select("_id", "_lead", "_x", "_y").mapInArrow(run, "_id long, _lead long, _linked boolean, _key long, _own boolean")
 
 
