@@ -1,31 +1,34 @@
 """Stupid-backoff language-model scores (operator 4).
 
-Documents lie in blocks. Each block sends every n-gram it holds once, with its own count, to the partition of the n-gram's
-hash; there the counts of all blocks add up to the count table, which is joined to the blocks' n-grams; each block gets
-the totals of its n-grams back and sums its documents' word scores. Hash ranges go in waves, whose shuffle files go
-one after another, so the n-grams of all orders never lie on disk together.
+A word scores count(n-gram) / count(history) for the longest n-gram that the corpus has, times ``factor`` for each order given
+up; for single words count / all words. A document's score is the sum of the logarithms.
 
-A word's score is count(n-gram) / count(history) for the longest n-gram met ``least`` times or more, times ``factor`` for each
-order given up; for single words count / all words. Counts cover all documents; pre-aggregated by block, no n-gram has more
-rows than there are blocks.
+``scored`` takes the documents as their own corpus, so every n-gram of theirs has a count and a word gives up an order only
+where its text has too few words before it. Then a document's sum is one of weights times log(count) over its n-grams:
+one for each n-gram of the full order, minus one for each history. So it is relational: n-grams are exploded to rows (n-gram,
+document, weight, times), summed by n-gram to the count table, joined to it, and summed by document. Ranges of the n-grams'
+hashes go in waves, whose files go one after another, so all n-grams never lie on disk together. Rows are summed by document
+and n-gram, and those without a weight by batch, before they move; counts are partial sums, and Spark splits skewed joins.
+
+``scored_by`` scores documents by another corpus, word by word, and backs off where an n-gram has no count.
 
 Defined results: null texts and texts without words have 0 words, a sum of 0 and a null mean; repeated rows are documents
-of their own and count; a null id stays null; an empty table gives an empty result.
+of their own and count; a null id stays null; an empty table gives an empty result. Words that a corpus doesn't have
+score as if it had them once.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import saved, table
-from foldwright.llm.ngram_join import SPACES, STEP
+from foldwright.llm.common import WORD, forget, saved, table
+from foldwright.llm.ngram_join import SPACES, STEP, _batches
 from foldwright.llm.suffix_dedup import _inverse_powers, _mixed, prefix_hashes, span_hash
 
 
@@ -53,98 +56,97 @@ def grams(word: np.ndarray, count: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(h[h > 0], return_counts=True)
+def weights(count: np.ndarray, order: int) -> list[np.ndarray]:
+    """How often log(count) of each order's n-gram at each word enters its text's score."""
+    place = 1 + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    size = np.repeat(count, count)
+    used, after = np.minimum(place, order), np.minimum(place + 1, order) - 1  # the word's n-gram; the next word's history
+    return [(used == n).astype(np.int64) - ((place < size) & (after == n)) for n in range(1, order + 1)]
 
 
-def scores(texts: list[str | None], totals: list[np.ndarray], all_words: int, order: int, factor: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words and summed log scores of a block's texts; ``totals``: counts of its distinct n-grams in order of hash."""
-    word, count = words_of_texts(texts)
-    times = []
-    for h, total in zip(grams(word, count, order), totals, strict=True):
-        known, _ = _distinct(h)
-        times.append(np.where(h > 0, total[np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))] if len(known) else 0, 0).astype(np.float64))
-    value = np.zeros(len(word))
-    open_ = np.ones(len(word), dtype=bool)
-    for n in range(order, 0, -1):
-        hit = open_ & (times[n - 1] >= (least if n > 1 else 1))
-        before = np.concatenate([[0.0], times[n - 2][:-1]]) if n > 1 and len(word) else np.full(len(word), float(all_words))
-        value[hit] = np.log(times[n - 1][hit]) - np.log(before[hit]) + (order - n) * np.log(factor)
-        open_ &= ~hit
-    owner = np.repeat(np.arange(len(count)), count)
-    return count, np.bincount(owner, weights=value, minlength=len(count))
+EXPLODED = "_gram long, _row long, _weight long, _times long"
 
 
-def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, factor: float = 0.4, least: int = 2, waves: int = 4, block_chars: int = 1_500_000) -> DataFrame:
-    """(_id, n_words, log_score) of each row."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slots = waves * parts
+def exploded(texts: DataFrame, order: int, wave: int, waves: int, batch_chars: int = 1_500_000) -> DataFrame:
+    """Rows of EXPLODED for the n-grams of all orders in one of ``waves`` ranges of hashes; ``texts``: _row, _text.
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.string()))], names=["ids", "texts"])
+    N-grams of a document that have no weight in its score are summed over a batch, without ``_row``.
+    """
 
-        ids, texts, size = [], [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids.append(i)
-                texts.append(t.as_py())
-                size += len(texts[-1] or "")
-                if size >= block_chars:
-                    yield row()
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield row()
-
-    def slot(h: np.ndarray) -> np.ndarray:
-        return ((h >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
-
-    def send(wave: int):  # noqa: ANN202
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for block, texts in zip(batch.column("block").to_pylist(), batch.column("texts"), strict=True):
-                    word, count = words_of_texts(texts.as_py())
-                    out = []
-                    for n, h in enumerate(grams(word, count, order), 1):
-                        known, times = _distinct(h)
-                        cut = np.searchsorted(slot(known), np.arange(wave * parts, (wave + 1) * parts + 1))
-                        out += [(block, n, wave * parts + k, known[a:b].tobytes(), zlib.compress(times[a:b].astype("<u4").tobytes(), 1)) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-                    columns = list(zip(*out, strict=True)) or [()] * 5
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "n", "slot", "grams", "times"])
-
-        return run
-
-    def total(part: pd.DataFrame) -> pd.DataFrame:
-        """The count table of one order and hash range, joined back to the blocks."""
-        known = [np.frombuffer(x, np.uint64) for x in part["grams"]]
-        times = np.concatenate([np.frombuffer(zlib.decompress(x), "<u4") for x in part["times"]])
-        _, where = np.unique(np.concatenate(known), return_inverse=True)
-        all_ = np.bincount(where, weights=times).astype(np.int64)[where]
-        cut = np.cumsum([len(k) for k in known])[:-1]
-        return pd.DataFrame({"block": part["block"], "n": part["n"], "slot": part["slot"], "totals": [zlib.compress(x.astype("<u8").tobytes(), 1) for x in np.split(all_, cut)]})
-
-    blocks = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(gather, "ids array<long>, texts array<string>")
-    blocks = saved(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
-    answers: DataFrame | None = None
+            rows = batch.column(0).to_numpy()
+            for begin, part in _batches(batch, 1, batch_chars):
+                word, count = words_of_texts(part)
+                owner = np.repeat(np.arange(len(part)), count)
+                found = []
+                for h, w in zip(grams(word, count, order), weights(count, order), strict=True):
+                    here = np.flatnonzero((h > 0) & ((h >> np.uint64(32)) * np.uint64(waves) >> np.uint64(32) == wave))
+                    found.append((h[here], np.where(w[here] != 0, owner[here], -1), w[here]))
+                gram, doc, weight = (np.concatenate(x) for x in zip(*found, strict=True))
+                by = np.lexsort((doc, gram))
+                gram, doc, weight = gram[by], doc[by], weight[by]
+                new = np.ones(len(gram), dtype=bool)
+                new[1:] = (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])
+                first = np.flatnonzero(new)
+                times = np.diff(np.append(first, len(gram)))
+                total = np.add.reduceat(weight, first) if len(first) else weight
+                doc = doc[first]
+                yield pa.RecordBatch.from_arrays([pa.array(gram[first].view(np.int64)), pa.array(rows[begin + np.maximum(doc, 0)], mask=doc < 0), pa.array(total), pa.array(times.astype(np.int64))], names=[c.split()[0] for c in EXPLODED.split(", ")])
+
+    return texts.mapInArrow(run, EXPLODED)
+
+
+def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, factor: float = 0.4, waves: int = 6) -> DataFrame:
+    """(_id, n_words, log_score) of each row, by the counts of all rows."""
+    n_words = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+    texts = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("_text"), F.col(id_col).cast("long").alias("_id"), n_words.alias("n_words"))
+    texts = saved(texts, "texts")
+    sums: DataFrame | None = None
     for wave in range(waves):
-        sent = blocks.mapInArrow(send(wave), "block long, n int, slot int, grams binary, times binary")
-        back = saved(sent.groupBy("n", "slot").applyInPandas(total, "block long, n int, slot int, totals binary"), "totals")
-        answers = back if answers is None else answers.unionByName(back)
-    size = F.expr("aggregate(texts, 0L, (n, t) -> n + coalesce(regexp_count(t, '[^\\\\x20\\\\x09-\\\\x0D]+'), 0))")
-    all_words = blocks.agg(F.sum(size)).first()[0] or 0
-    got = answers.groupBy("block").agg(F.collect_list(F.struct("n", "slot", "totals")).alias("got"))
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = saved(exploded(texts.select("_row", "_text"), order, wave, waves), "grams")
+        counts = part.groupBy("_gram").agg(F.sum("_times").alias("_count"))
+        met = part.where("_weight <> 0").select("_gram", "_row", "_weight").join(counts, "_gram")
+        own = saved(met.groupBy("_row").agg(F.sum(F.col("_weight") * F.log("_count")).alias("_sum")), "sums")
+        forget(part)
+        sums = own if sums is None else sums.unionByName(own)
+    all_words = texts.agg(F.sum("n_words")).first()[0] or 1
+    # the first word's denominator, and the orders that the first words give up
+    given_up = sum((F.when(F.col("n_words") >= i, float(order - i)).otherwise(0.0) for i in range(1, order)), F.lit(0.0))
+    start = F.when(F.col("n_words") > 0, given_up * math.log(factor) - math.log(all_words)).otherwise(0.0)
+    total = sums.groupBy("_row").agg(F.sum("_sum").alias("_sum"))
+    return texts.select("_row", "_id", "n_words").join(total, "_row", "left").select("_id", "n_words", (F.coalesce("_sum", F.lit(0.0)) + start).alias("log_score"))
+
+
+def scored_by(docs: DataFrame, corpus: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, factor: float = 0.4) -> DataFrame:
+    """(_id, n_words, log_score) of each row of ``docs``, by the counts of ``corpus``: every word's n-grams and histories are
+    joined to the count table, and the longest one that it has scores the word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts, rows in zip(batch.column("ids"), batch.column("texts"), batch.column("got"), strict=True):
-                totals: list[list[bytes]] = [[] for _ in range(order)]
-                for r in sorted(rows.as_py() or [], key=lambda r: r["slot"]):
-                    totals[r["n"] - 1].append(zlib.decompress(r["totals"]))
-                count, value = scores(texts.as_py(), [np.frombuffer(b"".join(x), "<i8") for x in totals], all_words, order, factor, least)
-                yield pa.RecordBatch.from_arrays([pa.array(ids.as_py(), pa.int64()), pa.array(count.astype(np.int64)), pa.array(value)], names=["_id", "n_words", "log_score"])
-
-    return blocks.join(got, "block", "left").mapInArrow(finish, "_id long, n_words long, log_score double")
+            rows = batch.column(0).to_numpy()
+            for begin, part in _batches(batch, 1, 300_000):
+                word, count = words_of_texts(part)
+                place = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
+                row = rows[begin + np.repeat(np.arange(len(part)), count)]
+                size = np.repeat(count, count)
+                for n, h in enumerate(grams(word, count, order), 1):
+                    for kind, at in ((0, h > 0), (1, (h > 0) & (place + 1 < size) & (n < order))):  # the word's own; the next one's history
+                        k = int(at.sum())
+                        yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(row[at]), pa.array(place[at] + kind), pa.array(np.full(k, n + kind, np.int32)), pa.array(np.full(k, kind, np.int32))], names=["_gram", "_row", "_place", "_n", "_kind"])
+
+    base = corpus.select(F.lit(0).cast("long").alias("_row"), F.col(text_col).alias("_text"))
+    counts = saved(exploded(base, order, 0, 1).groupBy("_gram").agg(F.sum("_times").alias("_count")), "counts")
+    all_words = corpus.agg(F.sum(F.regexp_count(text_col, F.lit(WORD)))).first()[0] or 1
+    texts = saved(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("_text"), F.col(id_col).cast("long").alias("_id")), "texts")
+    rows = texts.select("_row", "_text").mapInArrow(run, "_gram long, _row long, _place long, _n int, _kind int").join(counts, "_gram", "left")
+    of = lambda n, kind: F.max(F.when((F.col("_n") == n) & (F.col("_kind") == kind), F.coalesce("_count", F.lit(0))))
+    each = rows.groupBy("_row", "_place").agg(*(of(n, kind).alias(f"_{kind}_{n}") for n in range(1, order + 1) for kind in (0, 1) if (n, kind) != (1, 1)))
+    value = F.log(F.greatest("_0_1", F.lit(1)) / F.lit(float(all_words))) + (order - 1) * math.log(factor)
+    for n in range(2, order + 1):
+        value = F.when(F.col(f"_0_{n}") > 0, F.log(F.col(f"_0_{n}") / F.col(f"_1_{n}")) + (order - n) * math.log(factor)).otherwise(value)
+    total = each.groupBy("_row").agg(F.count("*").alias("n_words"), F.sum(value).alias("_sum"))
+    return texts.select("_row", "_id").join(total, "_row", "left").select("_id", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), F.coalesce("_sum", F.lit(0.0)).alias("log_score"))
 
 
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,5 +161,5 @@ w AS MATERIALIZED (SELECT r, u.w, u.i FROM d, LATERAL (SELECT unnest(x) AS w, ge
 g AS MATERIALIZED (SELECT r, i, w, lag(w, 1) OVER q AS b, lag(w, 2) OVER q AS a FROM w WINDOW q AS (PARTITION BY r ORDER BY i)),
 c AS (SELECT r, i, a, b, count(*) OVER (PARTITION BY w) AS c1, count(*) OVER (PARTITION BY b, w) AS c2, count(*) OVER (PARTITION BY a, b, w) AS c3 FROM g),
 h AS (SELECT *, lag(c1) OVER q AS h1, lag(c2) OVER q AS h2, (SELECT count(*) FROM w) AS n FROM c WINDOW q AS (PARTITION BY r ORDER BY i)),
-s AS (SELECT r, count(*) AS n_words, sum(CASE WHEN a IS NOT NULL AND c3 >= 2 THEN ln(c3) - ln(h2) WHEN b IS NOT NULL AND c2 >= 2 THEN ln(c2) - ln(h1) + ln(0.4) ELSE ln(c1) - ln(n) + 2 * ln(0.4) END) AS s FROM h GROUP BY r)
+s AS (SELECT r, count(*) AS n_words, sum(CASE WHEN a IS NOT NULL THEN ln(c3) - ln(h2) WHEN b IS NOT NULL THEN ln(c2) - ln(h1) + ln(0.4) ELSE ln(c1) - ln(n) + 2 * ln(0.4) END) AS s FROM h GROUP BY r)
 SELECT doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(s, 0), 4) AS log_score, CASE WHEN n_words > 0 THEN round(s / n_words, 6) END AS mean_log_score FROM d LEFT JOIN s USING (r)"""
