@@ -4,12 +4,15 @@ Finds every string of ``LENGTH`` bytes that also starts earlier: in a document w
 
 Suffixes are taken at anchors that the bytes themselves determine: in each string of LENGTH bytes, the place of the
 smallest hash of GRAM bytes. Equal strings have equal anchors, so a suffix at an anchor with the bytes before it (a
-stretch) stands for all strings with this anchor. Each task first marks stretches it has already met (copies are
-pre-aggregated before anything moves). Anchors that occur once end there. Equal stretches are told by 121 bits of hash.
-The rest, different stretches around equal anchors, are suffix-sorted: sampled splitters range-partition them by
-their leading bytes (then the bytes before the anchor, so no common suffix overfills a bucket), each bucket sorts by
-multikey quicksort, common prefixes of neighbours group equal strings, and groups that touch a splitter are compared
-across buckets.
+stretch) stands for all strings with this anchor. Anchors that occur once end there. Equal stretches are aggregated before
+anything is sorted, first by each task among those it has met, then by key: they are told by 121 bits of digest, and the
+earliest stands for all. What is left at anchors with different stretches around them is suffix-sorted: sampled splitters
+range-partition it by its leading bytes (then the bytes before the anchor, so no common suffix overfills a bucket), each
+bucket sorts by multikey quicksort, common prefixes of neighbours group equal strings, whose bytes are compared, and groups
+that reach an end of their bucket are compared across buckets.
+
+A task that meets an anchor's gram with a second stretch says so once, and deals further ones by stretch, so a phrase in
+many contexts doesn't gather in one task.
 
 Defined results: a null text is empty; texts below LENGTH bytes lose nothing; a null id comes after all others; rows that
 repeat an id are separate documents in order of a hash of their texts; rows that repeat both id and text count as one
@@ -104,30 +107,42 @@ def stretches(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> dict[str,
     return {"text": text[first], "start": place[first], "n": n, "rel": rel, "gram": grams[anchor[first]].view(np.int64), "body": body.view(np.int64)}
 
 
-SCAN = "_gram long, _body long, _id long, _hash long, _start int, _n int, _rel int, _later boolean"
+NORMAL, LATER, MANY, MARK = range(4)  # kinds of rows: as they come; an earlier equal one is known; the gram has others; only a sign of that
+SCAN = "_gram long, _body long, _id long, _hash long, _start int, _n int, _rel int, _kind int"
 
 
 def scan(docs: DataFrame, batch_bytes: int = 1_500_000) -> DataFrame:
-    """Stretches of the texts of ``docs`` (_id, _hash, _text); _later: the task met an equal, earlier one."""
+    """Stretches of the texts of ``docs`` (_id, _hash, _text) by kind, as far as a task knows: it remembers the first
+    stretch of each gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int], tuple[int, int, int]] = {}
+        seen: dict[int, tuple[int, tuple[int, int, int]]] = {}
+        told: set[int] = set()
         for whole in batches:
             for ids, hashes, texts in _parts(whole, batch_bytes):
                 raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
                 size = np.array([len(t) for t in texts], dtype=np.int64)
                 s = stretches(raw, np.cumsum(size) - size, size)
                 doc, hsh = ids[s["text"]], hashes[s["text"]]
-                later = np.zeros(len(doc), dtype=bool)
-                for i, (k, me) in enumerate(zip(zip(s["gram"].tolist(), s["body"].tolist(), strict=True), zip(doc.tolist(), hsh.tolist(), s["start"].tolist(), strict=True), strict=True)):
-                    least = seen.get(k)
-                    if least is None or me < least:
-                        seen[k] = me
-                    elif me > least:
-                        later[i] = True
+                kind, marks = np.full(len(doc), NORMAL, dtype=np.int32), []
+                for i, (gram, body, me) in enumerate(zip(s["gram"].tolist(), s["body"].tolist(), zip(doc.tolist(), hsh.tolist(), s["start"].tolist(), strict=True), strict=True)):
+                    first = seen.get(gram)
+                    if first is None or first[0] == body and me < first[1]:
+                        seen[gram] = body, me
+                    elif first[0] != body:
+                        kind[i] = MANY
+                        if gram not in told:
+                            told.add(gram)
+                            marks.append(i)
+                    elif me > first[1]:
+                        kind[i] = LATER
                 if len(seen) > SEEN:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(s["gram"]), pa.array(s["body"]), pa.array(doc), pa.array(hsh), pa.array(s["start"].astype(np.int32)), pa.array(s["n"].astype(np.int32)), pa.array(s["rel"].astype(np.int32)), pa.array(later)], names=[c.split()[0] for c in SCAN.split(", ")])
+                    told.clear()
+                every = np.concatenate([np.arange(len(doc)), np.array(marks, dtype=np.int64)])
+                kind = np.concatenate([kind, np.full(len(marks), MARK, dtype=np.int32)])
+                body = np.where(kind == MARK, ~s["body"][every], s["body"][every])
+                yield pa.RecordBatch.from_arrays([pa.array(s["gram"][every]), pa.array(body), pa.array(doc[every]), pa.array(hsh[every]), *(pa.array(s[c][every].astype(np.int32)) for c in ("start", "n", "rel")), pa.array(kind)], names=[c.split()[0] for c in SCAN.split(", ")])
 
     return docs.mapInArrow(run, SCAN)
 
@@ -179,17 +194,16 @@ def multikey_quicksort(words: np.ndarray) -> np.ndarray:
 FOUND = "_id long, _hash long, _start int, _n int, _k1 long, _k2 long"
 
 
-def resolve(ids: np.ndarray, hashes: np.ndarray, start: np.ndarray, n: np.ndarray, rel: np.ndarray, content: list[bytes], edges: list[bytes]) -> dict[str, np.ndarray]:
+def resolve(ids: np.ndarray, hashes: np.ndarray, start: np.ndarray, n: np.ndarray, rel: np.ndarray, keys: np.ndarray) -> dict[str, np.ndarray]:
     """Strings of a bucket's stretches that start earlier elsewhere in it, as runs; strings that may have equals in other
-    buckets (their right part is that of an edge) with two hashes instead."""
-    keys = keys_of(content, rel)
+    buckets (their right part is that of the bucket's first or last suffix) with two hashes instead."""
     order = multikey_quicksort(keys.view(">u8"))
     keys, ids, hashes, start, n, rel = (x[order] for x in (keys, ids, hashes, start, n, rel))
     differ = keys[1:, :RIGHT] != keys[:-1, :RIGHT]
     common = np.where(differ.any(axis=1), differ.argmax(axis=1), RIGHT)  # prefix shared with the row before
-    near = np.zeros(len(keys), dtype=np.int64)  # prefix shared with an edge
-    for e in edges:
-        d = keys[:, :RIGHT] != np.frombuffer(e[:RIGHT].ljust(RIGHT, b"\0"), np.uint8)
+    near = np.zeros(len(keys), dtype=np.int64)  # prefix shared with an end of the bucket
+    for end in (0, -1):
+        d = keys[:, :RIGHT] != keys[end, :RIGHT]
         near = np.maximum(near, np.where(d.any(axis=1), d.argmax(axis=1), RIGHT))
     rank = np.empty(len(keys), dtype=np.int64)
     rank[np.lexsort((start + rel, hashes, ids))] = np.arange(len(keys))
@@ -208,8 +222,11 @@ def resolve(ids: np.ndarray, hashes: np.ndarray, start: np.ndarray, n: np.ndarra
         group = np.concatenate([[0], np.cumsum(common < right)])[has].astype(np.uint64)
         key = _mixed(h1[has] + group * MIX) ^ h2[has]
         by = np.lexsort((rank[has], key))
+        again = np.flatnonzero(key[by[1:]] == key[by[:-1]])
+        a, b = has[by[again + 1]], has[by[again]]
+        equal = (group[by[again + 1]] == group[by[again]]) & (keys[a, RIGHT : RIGHT + o] == keys[b, RIGHT : RIGHT + o]).all(axis=1)
         dup = np.zeros(len(has), dtype=bool)
-        dup[by[1:]] = key[by[1:]] == key[by[:-1]]
+        dup[by[again[equal] + 1]] = True
         late = has[dup]
         late_row.append(late)
         late_at.append(start[late] + rel[late] - o)
@@ -232,70 +249,57 @@ def resolve(ids: np.ndarray, hashes: np.ndarray, start: np.ndarray, n: np.ndarra
     return {"_id": ids[every], "_hash": hashes[every], "_start": np.concatenate([at[first], at2]).astype(np.int32), "_n": np.concatenate([count, np.zeros(len(row2), np.int64)]).astype(np.int32), "_k1": np.concatenate([np.zeros(len(first), np.int64), k1]), "_k2": np.concatenate([np.zeros(len(first), np.int64), k2])}
 
 
-def splitters(docs: DataFrame, buckets: int, sample_docs: int = 1000) -> list[bytes]:
-    """Sort keys that cut the suffixes of at most ``sample_docs`` texts (the first in hash order) evenly."""
-    if buckets < 2:
-        return []
-    some = F.pmod(F.xxhash64("_hash", F.lit(2)), F.lit(max(1, docs.count() // (4 * sample_docs)))) == 0  # so tasks send about four times the sample together
-    rows = docs.select("_id", "_hash", "_text").where(some & F.col("_text").isNotNull() & (F.length("_text") <= 20_000)).orderBy(F.xxhash64("_hash", F.lit(1)), "_id").limit(sample_docs).collect()
-    keys = []
-    for r in rows:
-        raw = (r["_text"]).encode()
-        s = stretches(np.frombuffer(raw, np.uint8), np.zeros(1, np.int64), np.array([len(raw)]))
-        keys += [k.tobytes() for k in keys_of([raw[a : a + n + LENGTH - 1] for a, n in zip(s["start"], s["n"], strict=True)], s["rel"])]
-    keys = sorted(set(keys))
-    return sorted({keys[i * len(keys) // buckets] for i in range(1, buckets)}) if keys else []
-
-
-def sorted_suffixes(texts: DataFrame, rest: DataFrame, cuts: list[bytes]) -> DataFrame:
+def sorted_suffixes(texts: DataFrame, rest: DataFrame, buckets: int) -> DataFrame:
     """Rows of FOUND for stretches ``rest`` (_id, _hash, _start, _n, _rel); ``texts``: _id, _hash, _raw."""
-    spark = texts.sparkSession
     begin = F.col("_start") + 1
     full = rest.join(texts, ["_id", "_hash"]).select("_id", "_hash", "_start", "_n", "_rel", F.substring("_raw", begin, F.col("_n") + LENGTH - 1).alias("_content"))
-    shared = spark.sparkContext.broadcast(cuts)  # as many keys of 176 bytes as there are buckets
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        edges = np.array(shared.value, dtype="S176")
         for b in batches:
             if len(b):
                 key = keys_of([bytes(c) for c in b["_content"]], b["_rel"].to_numpy())
-                key = np.ascontiguousarray(key).view("S176").ravel()
-                yield b.assign(_bucket=np.searchsorted(edges, key, side="right").astype(np.int32) if len(edges) else np.int32(0))
+                yield b.drop(columns="_content").assign(_key=[k.tobytes() for k in key])
 
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.drop_duplicates(["_id", "_hash", "_start"])  # of repeated rows
-        k = int(b["_bucket"].iloc[0])
-        edges = shared.value[max(0, k - 1) : k + 1] if k else shared.value[:1]
-        return pd.DataFrame(resolve(*(b[c].to_numpy().astype(np.int64) for c in ("_id", "_hash", "_start", "_n", "_rel")), [bytes(c) for c in b["_content"]], edges))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        if parts:
+            b = pd.concat(parts)
+            keys = np.frombuffer(b"".join(b["_key"]), dtype=np.uint8).reshape(len(b), -1)
+            yield pd.DataFrame(resolve(*(b[c].to_numpy().astype(np.int64) for c in ("_id", "_hash", "_start", "_n", "_rel")), keys))
 
-    placed = full.mapInPandas(place, "_id long, _hash long, _start int, _n int, _rel int, _content binary, _bucket int")
-    return placed.groupBy("_bucket").applyInPandas(run, FOUND)
+    # Spark samples the keys of all suffixes for the splitters
+    placed = full.mapInPandas(place, "_id long, _hash long, _start int, _n int, _rel int, _key binary")
+    return placed.repartitionByRange(buckets, "_key").mapInPandas(run, FOUND)
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, bucket_rows: int = 40_000) -> DataFrame:
-    """``_id`` (NO_ID for null), ``_raw`` (the text's bytes), ``_cut``: the runs of strings to remove, and the columns ``carry``."""
+    """``_id`` (NO_ID for null), ``_no_id``, ``_raw`` (the text's bytes), ``_cut``: the runs of strings to remove, and the columns ``carry``."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"), *(carry or []))
-    met = scan(rows.select("_id", "_hash", "_text").where(F.length("_text") >= LENGTH // 4))
-    # marked stretches need no partner, so they are dealt by document
-    dealt = met.withColumn("_part", F.when(F.col("_later"), F.xxhash64("_id", "_start")).otherwise(F.col("_gram")))
-    gram = Window.partitionBy("_part", "_later")
-    body = Window.partitionBy("_part", "_later", "_body").orderBy("_id", "_hash", "_start")
+    given, text_hash = F.col(id_col).cast("long"), F.xxhash64(text_col)
+    # null ids come after an id of the same number
+    own_hash = F.when(given.isNull(), text_hash.bitwiseAND(F.lit(int(NO_ID)))).when(given == int(NO_ID), text_hash.bitwiseOR(F.lit(-int(NO_ID) - 1))).otherwise(text_hash)
+    rows = docs.select(F.coalesce(given, F.lit(int(NO_ID))).alias("_id"), own_hash.alias("_hash"), given.isNull().alias("_no_id"), F.col(text_col).alias("_text"), *(carry or []))
+    unique = rows.select("_id", "_hash", "_text")
+    if not unique.groupBy("_id", "_hash").count().where("count > 1").isEmpty():
+        unique = saved(unique.dropDuplicates(["_id", "_hash"]), "unique")
+    met = scan(unique.where(F.length("_text") >= LENGTH // 4))
+    # stretches with an earlier equal one need no partner; those of grams that have others meet their equals alone
+    part = F.when(F.col("_kind") == LATER, F.xxhash64("_id", "_start")).when(F.col("_kind") == MANY, F.xxhash64("_gram", "_body")).otherwise(F.col("_gram"))
+    dealt = met.withColumn("_part", part).withColumn("_alone", F.when(F.col("_kind") == MARK, NORMAL).otherwise(F.col("_kind")))
+    gram = Window.partitionBy("_part", "_alone")
+    body = Window.partitionBy("_part", "_alone", "_body").orderBy("_id", "_hash", "_start")
     me = F.struct("_id", "_hash", "_start")
-    seen = dealt.withColumn("_many", F.min("_body").over(gram) != F.max("_body").over(gram)).withColumn("_same", F.first(me).over(body) != me)
-    rest = saved(seen.where("_later OR _same OR _many").select("_id", "_hash", "_start", "_n", "_rel", (F.col("_later") | F.col("_same")).alias("_gone")), "stretches")
+    seen = dealt.withColumn("_many", (F.col("_kind") == MANY) | (F.min("_body").over(gram) != F.max("_body").over(gram))).withColumn("_gone", (F.col("_kind") == LATER) | (F.first(me).over(body) != me))
+    rest = saved(seen.where((F.col("_kind") != MARK) & (F.col("_gone") | F.col("_many"))).select("_id", "_hash", "_start", "_n", "_rel", "_gone"), "stretches")
     left = rest.where("NOT _gone")
     n = left.count()
     buckets = max(1, -(-n // bucket_rows), min(n // 500, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    cuts = splitters(rows, buckets)
-    texts = rows.select("_id", "_hash", F.encode(F.coalesce("_text", F.lit("")), "UTF-8").alias("_raw"), *(carry or []))
-    texts = texts.repartition("_id", "_hash")
-    found = sorted_suffixes(texts.select("_id", "_hash", "_raw"), left, cuts)
-    found = saved(found, "found")
+    raw = F.encode(F.coalesce("_text", F.lit("")), "UTF-8").alias("_raw")
+    found = saved(sorted_suffixes(unique.select("_id", "_hash", raw), left, buckets), "found")
     across = found.where("_n = 0").withColumn("_k", F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_id", "_hash", "_start"))).where("_k > 1").select("_id", "_hash", "_start", F.lit(1).alias("_n"))
     gone = rest.where("_gone").select("_id", "_hash", "_start", "_n").unionByName(found.where("_n > 0").select("_id", "_hash", "_start", "_n")).unionByName(across)
     cut = gone.groupBy("_id", "_hash").agg(F.collect_list(F.struct("_start", "_n")).alias("_cut"))
-    return texts.join(cut, ["_id", "_hash"], "left").select("_id", "_hash", "_raw", "_cut", *(carry or []))
+    return rows.select("_id", "_hash", "_no_id", raw, *(carry or [])).join(cut, ["_id", "_hash"], "left").select("_id", "_hash", "_no_id", "_raw", "_cut", *(carry or []))
 
 
 def kept_parts(df: DataFrame, keep: list[str], with_kept: bool, whole_chars: bool = False) -> DataFrame:
@@ -342,5 +346,5 @@ def _inward(raw: bytes, begin: int, end: int) -> list[int]:
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = kept_parts(deduplicated(docs), ["_id"], with_kept=False)
-    return out.select(F.when(F.col("_id") != int(NO_ID), F.col("_id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    out = kept_parts(deduplicated(docs), ["_id", "_no_id"], with_kept=False)
+    return out.select(F.when(~F.col("_no_id"), F.col("_id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
