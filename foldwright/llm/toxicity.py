@@ -84,7 +84,9 @@ def evidence(words: list[str], bias: float, matcher: ahocorasick.Automaton | Non
 
 
 def tokens(text: str | None) -> list[str]:
-    return TOKEN.findall(text.lower()) if text else []
+    """Words in lower case, in the places that TOKEN has them in the text itself."""
+    found = TOKEN.findall(text) if text else []
+    return " ".join(found).lower().split(" ") if found else []
 
 
 def marginals(e: np.ndarray, lengths: np.ndarray, trans: tuple[float, ...], block: int = BLOCK) -> np.ndarray:
@@ -286,12 +288,9 @@ def score_texts(texts: list[str | None], model: Field, matcher: ahocorasick.Auto
         hits = np.flatnonzero(own >= 0.5)
         spans: list[dict] = []
         if len(hits):
-            # offsets are those of the lower-cased text where lower-casing keeps the length, else of the text itself
-            where = [m.span() for m in TOKEN.finditer(text.lower() if len(text.lower()) == len(text) else text)]
+            where = [m.span() for m in TOKEN.finditer(text)]
             last = -2
             for h in hits.tolist():
-                if h >= len(where):
-                    break
                 if h == last + 1:
                     spans[-1] |= {"end": where[h][1], "p": max(spans[-1]["p"], float(own[h]))}
                 else:
@@ -319,12 +318,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     rare = known.where("_y = 1").orderBy("_h", "_id").limit(max_docs)
     rest = known.where("_y = 0").orderBy("_h", "_id").limit(clean_ratio * max_docs)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") <= max_chars)
-    # at most (1 + clean_ratio) * max_docs rows of two numbers
-    rows = texts.join(F.broadcast(rare.unionByName(rest).select("_id", "_y")), "_id").collect()
+    # at most (1 + clean_ratio) * max_docs rows of two numbers; of rows that repeat an id one counts, the least
+    rows = texts.join(F.broadcast(rare.unionByName(rest).select("_id", "_y")), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.min("_y").alias("_y")).collect()
     return train([(r["_text"], r["_y"]) for r in sorted(rows, key=lambda r: (r["_id"], r["_text"] or ""))])
 
 
-def tag(docs: DataFrame, model: Field, *, text_col: str = "text", out_col: str = "toxicity", chunk_chars: int = 4_000_000) -> DataFrame:
+def tag(docs: DataFrame, model: Field, *, text_col: str = "text", out_col: str = "toxicity", chunk_chars: int = 1_000_000) -> DataFrame:
     """``docs`` with the columns of SCHEMA in a struct ``out_col`` (a name that they don't have); every whole text is scored where it lies, without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand weights, bounded by fit's sample
     schema = T.StructType([*docs.schema.fields, T.StructField(out_col, SCHEMA)])
