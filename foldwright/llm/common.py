@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import json
+import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,33 +21,49 @@ WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "s
 
 _made: list[tuple[SparkSession, str]] = []
 _own: dict[str, str] = {}
+_lock = threading.Lock()
+_writing: dict = {"now": 0, "before": {}}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder for tables between jobs: ``spark.checkpoint.dir``, else a temporary one (local runs only)."""
+    """Shared folder for tables between jobs: ``spark.checkpoint.dir``, else, with a local master, a temporary one.
+
+    Elsewhere executors and driver share no local folder, so there the setting is needed.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="foldwright-")
+        atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
     return f"file://{_own['dir']}"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: cuts lineage, outlives lost executors.
 
-    The write's shuffle files are dropped when it ends. The folder goes when the driver's Python ends.
+    The write's shuffle files are dropped when it ends. The folder goes when the driver's Python ends. Writes of several
+    threads overlap as they like: the session's own settings come back when the last one ends.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    before = {k: spark.conf.get(k, None) for k in WRITING}
-    for k, v in WRITING.items():
-        spark.conf.set(k, v)
+    with _lock:
+        if not _writing["now"]:
+            _writing["before"] = {k: spark.conf.get(k, None) for k in WRITING}
+            for k, v in WRITING.items():
+                spark.conf.set(k, v)
+        _writing["now"] += 1
     try:
         df.write.parquet(path)
     finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+        with _lock:
+            _writing["now"] -= 1
+            if not _writing["now"]:
+                for k, v in _writing["before"].items():
+                    spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     if not _made:
         atexit.register(_clean)
     _made.append((spark, path))

@@ -34,6 +34,7 @@ SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 STEP = np.uint64(0xA0761D6478BD642F)
 HOT = 1000  # most members of a key that meet pair by pair
+CHARS = 500_000  # characters that a worker handles at once
 PARITY = ["_b0", "_b1", "_b2", "_b3"]  # of the set's tokens, by 256 places
 
 
@@ -162,7 +163,7 @@ def frequent_tokens(docs: DataFrame, words: int, most: int = 100_000, share: flo
         for batch in batches:
             n = 0
             parts = []
-            for _, texts in _batches(batch, 1, 1_000_000):
+            for _, texts in _batches(batch, 1, CHARS):
                 tokens, sizes = shingle_sets(texts, words)
                 t, c = np.unique(tokens, return_counts=True)
                 keep = c >= max(3, share * len(sizes))
@@ -186,7 +187,7 @@ def sketched(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
         s = shared.value
         for batch in batches:
             ids = batch.column(0)
-            for begin, texts in _batches(batch, 1, 1_000_000):
+            for begin, texts in _batches(batch, 1, CHARS):
                 tokens, sizes = shingle_sets(texts, words)
                 parts = np.split(tokens, np.cumsum(sizes)[:-1])
                 d1, d2 = _digests(parts)
@@ -427,7 +428,7 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, part in _batches(batch, 1, 1_000_000):
+            for begin, part in _batches(batch, 1, CHARS):
                 tokens, sizes = shingle_sets(part, words)
                 parts = np.split(tokens, np.cumsum(sizes)[:-1])
                 d1, d2 = _digests(parts)

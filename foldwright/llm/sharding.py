@@ -5,8 +5,10 @@ after its own. Keys are counted by cell, so the driver sees at most cells * 8 co
 it in ring order until it is full; keys beyond continue clockwise to the next shard with room. With ``slack`` 0 the
 rooms are the row counts shared out evenly, so counts differ by one at most; with more slack fewer keys move.
 
-Defined results: a null text has no bytes and the checksum of the empty text; null ids share a place on the ring and
-are spread by text; repeated rows each get a slot; an empty table gives an empty result.
+Keys of a cell are numbered in GROUPS groups, to which rows that are equal are dealt too.
+
+Defined results: a null text has no bytes and the checksum of the empty text; a row without an id is placed by its text;
+repeated rows each get a slot; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -75,7 +77,9 @@ def assign(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     """One row a document: ``_id``, size, text_crc32, shard, slot, and whether it moved on from a full shard."""
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("_id"), (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(utf8(F.col(text_col))).alias("text_crc32"))
-    slim = saved(slim.withColumn("_cell", F.pmod(F.xxhash64("_id"), F.lit(cells))).withColumn("_group", F.pmod(F.xxhash64("_id", "text_crc32", "size"), F.lit(GROUPS))), "shards")
+    home = F.when(F.col("_id").isNotNull(), F.xxhash64("_id")).otherwise(F.xxhash64("text_crc32", "size", F.lit(1)))
+    salt = F.monotonically_increasing_id() % 1024
+    slim = saved(slim.withColumn("_cell", F.pmod(home, F.lit(cells))).withColumn("_group", F.pmod(F.xxhash64("_id", "text_crc32", "size", salt), F.lit(GROUPS))), "shards")
     counted = sorted((r["_cell"], r["_group"], r["count"]) for r in slim.groupBy("_cell", "_group").count().collect())
     base, total = [], {}
     for cell, group, n in counted:

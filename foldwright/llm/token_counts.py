@@ -4,7 +4,8 @@ Texts longer than ``chunk`` characters are encoded in overlapping chunks. Each c
 neighbours are spliced at a token boundary that both have inside their overlap and that is proven stable: the two
 characters beside it stand next to each other in no piece of the vocabulary, so no merge, whatever the context, can
 cross it, and the tokens on either side don't depend on the other. Where an overlap holds no such boundary it is
-doubled, at last up to the whole text. Counts therefore equal those of one encoding of the whole text.
+doubled, at last up to the whole text. Counts therefore equal those of one encoding of the whole text. A chunk whose
+tokens don't cover its bytes (another model may normalise text) has the text encoded whole.
 
 Defined results: a null text counts as empty, an empty text has no tokens; repeated rows give repeated results; a null
 id stays null. Strings that look like special tokens are ordinary text, the library's default.
@@ -26,6 +27,10 @@ from foldwright.llm.common import table
 MARK = "▁"  # what the library writes for a space
 
 
+class UnalignedError(Exception):
+    """The tokens of a chunk don't cover its bytes one for one."""
+
+
 class PieceCounter:
     """Counts tokens of whole texts under one sentencepiece model."""
 
@@ -48,6 +53,8 @@ class PieceCounter:
     def ends(self, text: str) -> np.ndarray:
         """Ends of the tokens of a chunk, in characters; -1 for ends inside a character."""
         ends = np.cumsum(self.width[self.model.encode(text)]) - self.lead
+        if len(ends) and ends[-1] != len(text.encode()):  # a model that normalises text or drops spaces
+            raise UnalignedError
         if not text.isascii():
             heads = (np.frombuffer(text.encode(), dtype=np.uint8) & 0xC0) != 0x80
             place = np.where(np.append(heads, True), np.append(np.cumsum(heads) - 1, len(text)), -1)
@@ -55,9 +62,14 @@ class PieceCounter:
         return ends
 
     def count(self, text: str) -> int:
-        if len(text) <= self.chunk:
-            return len(self.model.encode(text))
-        text = text.replace(MARK, " ")
+        if len(text) > self.chunk:
+            try:
+                return self._spliced(text.replace(MARK, " "))
+            except UnalignedError:
+                self.widened += 1
+        return len(self.model.encode(text))
+
+    def _spliced(self, text: str) -> int:
         total, cut, begin = 0, 0, 0  # tokens up to the last splice; the splice; the current chunk's begin
         stop = min(len(text), self.chunk + self.overlap)
         ends = self.ends(text[begin:stop])
