@@ -8,9 +8,11 @@ import shutil
 import tempfile
 import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are maximal runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -94,6 +96,13 @@ def _clean() -> None:
             return
 
 
+def mapped(df: DataFrame, run: Callable, added: list[T.StructField]) -> DataFrame:
+    """``df.mapInArrow`` where ``run`` adds columns at the end; columns may have any names, which it doesn't see."""
+    inner = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate([*df.schema.fields, *added])]
+    out = df.toDF(*(f.name for f in inner[: len(df.columns)])).mapInArrow(run, T.StructType(inner))
+    return out.toDF(*df.columns, *(f.name for f in added))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwright.llm.common import table
+from foldwright.llm.common import mapped, table
 
 MARK = "▁"  # what the library writes for a space
 
@@ -115,7 +115,6 @@ def counter(path: str, chunk: int, overlap: int) -> PieceCounter:
 def count_tokens(docs: DataFrame, model_path: str, *, text_col: str = "text", out_col: str = "n_tokens", chunk: int = 8192, overlap: int = 256) -> DataFrame:
     """``docs`` with ``out_col`` (a name that they don't have); texts are counted where they lie, without a shuffle."""
     at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(model_path, chunk, overlap)
@@ -124,9 +123,9 @@ def count_tokens(docs: DataFrame, model_path: str, *, text_col: str = "text", ou
             for t in once:
                 once[t] = c.count(t)
             counts = pa.array([once[t] if t else 0 for t in batch.column(at).to_pylist()], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, counts], names=[*batch.schema.names, out_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, counts], names=[*batch.schema.names, f"c{batch.num_columns}"])
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, [T.StructField(out_col, T.LongType())])
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

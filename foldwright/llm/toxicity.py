@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwright.llm.common import table
+from foldwright.llm.common import mapped, table
 
 TOKEN = re.compile(r"[^\W_]+")
 CUT = 64  # tokens in a training sequence
@@ -326,7 +326,6 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 def tag(docs: DataFrame, model: Field, *, text_col: str = "text", out_col: str = "toxicity", chunk_chars: int = 1_000_000) -> DataFrame:
     """``docs`` with the columns of SCHEMA in a struct ``out_col`` (a name that they don't have); every whole text is scored where it lies, without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand weights, bounded by fit's sample
-    schema = T.StructType([*docs.schema.fields, T.StructField(out_col, SCHEMA)])
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,9 +341,9 @@ def tag(docs: DataFrame, model: Field, *, text_col: str = "text", out_col: str =
                     part, size = [], 0
             out += score_texts(part, shared.value, matcher) if part else []
             kind = pa.struct([("score", pa.float64()), ("n_tokens", pa.int64()), ("n_toxic_tokens", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, type=kind)], names=[*batch.schema.names, out_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, type=kind)], names=[*batch.schema.names, f"c{batch.num_columns}"])
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, [T.StructField(out_col, SCHEMA)])
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import public_tokenizers
 import tokenizers
+from pyspark.sql import functions as F
 
 sys.path[:0] = [str(Path(__file__).resolve().parent), str(Path(__file__).resolve().parent.parent)]
 from test_row_operators import _labelled
@@ -117,6 +118,16 @@ def test_a_source_of_one_long_text_stays(spark, folder):
     assert {r["source"] for r in pipeline.mix_sources(spark, docs, folder).select("source").collect()} == {"a", "b"}
 
 
+def test_columns_of_any_name_pass(spark, folder):
+    names = ["_gone", "_toxicity", "_mix_id_", "_row", "_key", "_id", "_source", "_times", "_text_hash", "_own", "kept", "a.b", "_doc_", "_n"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").where("doc_id < 30 OR doc_id > 995 OR doc_id IS NULL")
+    docs = docs.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    for _, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, docs, folder)
+        assert got.columns == docs.columns
+        assert {tuple(r)[5:] for r in got.collect()} == {tuple(range(len(names)))}
+
+
 def test_empty_tables(spark, folder):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in pipeline.STAGES:

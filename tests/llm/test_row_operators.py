@@ -81,6 +81,42 @@ def test_bounds_hold():
     assert (np.abs(est - q @ v[one].T) <= err).mean() > 0.99
 
 
+def test_codes_choose_few_to_score():
+    """Bars from the best cells and bounds from packed bits leave a small share to be scored, and lose next to nothing."""
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((40, 64))
+    v = centres[rng.integers(0, 40, 20_000)] + 0.8 * rng.standard_normal((20_000, 64))
+    v /= np.sqrt((v**2).sum(axis=1))[:, None]
+    q, book = v[::400], one_bit_ann.fit(v[:5000], 40)
+    cell = one_bit_ann.nearest(v, book.centroids)
+    bits, length, align = one_bit_ann.encode(v, cell, book)
+    score = q @ v.T
+    bar = -np.partition(-score, 20, axis=1)[:, 20]
+    taken = np.zeros(score.shape, dtype=bool)
+    for c in np.unique(cell):
+        one = np.flatnonzero(cell == c)
+        est, err = one_bit_ann.estimate(q, book.centroids[c], book, bits[one], length[one], align[one], 3.0)
+        assert (np.abs(est - score[:, one]) <= err).mean() > 0.99
+        taken[:, one] = one_bit_ann.chosen(est, err, np.zeros(est.shape, dtype=bool), bar, 20)
+    assert taken.mean() < 0.1 and taken[score >= bar[:, None]].mean() > 0.99
+
+
+def test_ann_equal_vectors_and_repeated_ids(spark):
+    """A vector that a third of all rows have: its smallest ids come, a query's own id never."""
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((300, 8))
+    v[::3] = v[0]
+    data = [(i, row) for i, row in enumerate(v.tolist())] + [(0, v[0].tolist())] * 40 + [(40, v[7].tolist())]
+    out = one_bit_ann.search(spark.createDataFrame(data, "vec_id long, embedding array<double>"), is_query=F.col("_id") % 20 == 0, eps=1e6).collect()
+    got = defaultdict(list)
+    for r in sorted(out, key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append(r["vec_id"])
+    own = {i: min(row for j, row in data if j == i) for i in range(0, 300, 20)}
+    for i, q in own.items():
+        score = sorted((-(np.array(row) * np.array(q)).sum(), j) for j, row in data if j != i)
+        assert got[i] == [j for _, j in score[:20]]
+
+
 # --- operator 5
 
 
@@ -92,7 +128,7 @@ def test_apportionment_is_by_highest_quotients():
         for _ in range(seats):
             i = max(range(len(w)), key=lambda i: (w[i] / (2 * want[i] + 1), -i))
             want[i] += 1
-        assert sorted(zip(w, mixing.apportion(w, seats), strict=True)) == sorted(zip(w, want, strict=True)) or sum(mixing.apportion(w, seats)) == seats
+        assert mixing.apportion(w, seats) == want
 
 
 def test_targets():
@@ -117,6 +153,35 @@ def test_mix(spark):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_mix_fills_the_quotas_of_highest_quotients(spark):
+    """Of one shard a source, words taken are those of its quota of blocks, found seat by seat; of shards, of theirs."""
+    data = [(i, t, s) for i, t, _, s, *_ in rows(n=150)]
+    size = defaultdict(int)
+    for _, t, s in data:
+        size[s] += len((t or "").split())
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = [i % 3 + 1 for i in range(len(names))]
+    goal, open_ = {}, set(range(len(names)))
+    rest = sum(size.values())
+    while open_:  # shares above three times a size are cut, one after another
+        share = {i: rest * weight[i] / sum(weight[j] for j in open_) for i in open_}
+        above = [i for i in open_ if share[i] > 3 * size[names[i]]]
+        for i in above or open_:
+            goal[names[i]] = min(share[i], 3 * size[names[i]])
+        rest -= sum(goal[names[i]] for i in above)
+        open_ -= set(above or open_)
+    seats, quota = round(sum(size.values()) / 16), Counter()
+    for _ in range(seats):
+        quota[max(names, key=lambda s: (goal[s] / (2 * quota[s] + 1), -names.index(s)))] += 1
+    for shard_words in (10**9, 700):
+        taken = Counter()
+        for r in mixing.mix(docs(spark, n=150), shard_words=shard_words).collect():
+            taken[r["_source"]] += r["taken"]
+            assert abs(r["target"] - goal[r["_source"]]) < 1e-6
+        shards = {s: max(1, -(-size[s] // shard_words)) for s in names}
+        assert all(abs(taken[s] - min(16 * quota[s], 3 * size[s])) <= 16 * shards[s] for s in names), (taken, quota)
+
+
 # --- operator 6
 
 
@@ -136,6 +201,39 @@ def test_shards(spark, slack):
     assert sharding.assign(empty(spark)).count() == 0
 
 
+def test_ring_key_by_key(spark):
+    """Every key is placed for itself: at home while there is room, else with the next shard clockwise that has some."""
+    n, cells = 700, 512
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    cell = {r["id"]: r["c"] for r in spark.range(n).select("id", F.pmod(F.xxhash64("id"), F.lit(cells)).alias("c")).collect()}
+    for slack in (0.0, 0.25):
+        nodes, room = sharding.ring(16, 8, cells), sharding.rooms(n, 16, slack)
+        where, late, used = Counter(), [], Counter()
+        for c in sorted(cell.values()):
+            home = next((k for k, (place, _) in enumerate(nodes) if place >= c), 0)
+            if used[nodes[home][1]] < room[nodes[home][1]]:
+                used[nodes[home][1]] += 1
+                where[c, nodes[home][1]] += 1
+            else:
+                late.append((c, home))
+        for c, home in late:
+            while used[nodes[home % len(nodes)][1]] >= room[nodes[home % len(nodes)][1]]:
+                home += 1
+            shard = nodes[home % len(nodes)][1]
+            used[shard] += 1
+            where[c, shard] += 1
+        got = sharding.assign(df, virtual=8, cells=cells, slack=slack).collect()
+        assert Counter((cell[r["_id"]], r["shard"]) for r in got) == where
+
+
+def test_one_more_shard_moves_few(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    old, new = ({r["_id"]: r["shard"] for r in sharding.assign(df, shards=k, slack=0.5).collect()} for k in (16, 17))
+    changed = [i for i in old if old[i] != new[i]]
+    assert 0 < len(changed) < 0.2 * len(old)
+    assert sum(new[i] != 16 for i in changed) < 0.1 * len(old)
+
+
 def test_flow_walks_clockwise():
     nodes = [(2, 0), (5, 1), (8, 2)]
     assert sharding.flow({1: 4, 4: 1, 9: 1}, nodes, [2, 2, 2]) == [(1, 0, 2, 0, 0), (4, 0, 1, 1, 0), (1, 2, 3, 1, 1), (1, 3, 4, 2, 0), (9, 0, 1, 2, 1)]
@@ -143,7 +241,7 @@ def test_flow_walks_clockwise():
 
 def test_more_slack_moves_fewer(spark):
     moved = [sharding.assign(docs(spark, n=300), slack=s).where("moved").count() for s in (0.0, 0.5)]
-    assert moved[1] <= moved[0]
+    assert 0 < moved[0] and moved[1] < 0.5 * moved[0]
 
 
 # --- operator 8
@@ -172,6 +270,14 @@ def test_toxicity_on_held_out_texts():
             assert y and any(x in t[s["begin"] : s["end"]] for x in ("grumble", "nasty"))
 
 
+def test_toxic_offsets_are_those_of_the_text():
+    model = toxicity.Field({"^nast": 6.0, "nasty": 6.0, "asty$": 6.0}, -4.0, (0.0, 0.0, 0.0, 0.0), (-2.0, 3.0, 1.0))
+    for text in ("\u0130 nasty word \u0130\u0130 nasty", "Nasty \u0130\u0130x NASTY end", "a nasty nasty b"):
+        got = toxicity.score_texts([text], model, model.matcher())[0]
+        own = [text[s["begin"] : s["end"]].lower() for s in got["spans"]]
+        assert got["n_toxic_tokens"] == 2 and own == (["nasty nasty"] if "nasty nasty" in text else ["nasty", "nasty"])
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(9)
     trans = (0.3, -0.7, 0.2, 0.9)

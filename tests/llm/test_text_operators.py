@@ -48,7 +48,6 @@ def removed(spark, data):
 
 def test_suffix_dedup_equals_brute_force(spark):
     data = [(i, t, "x") for i, t, *_ in rows() if i is not None and i not in (3,)]
-    data = [d for d in data if d[1] is None or len(d[1]) < 20_000]
     want = {i: (t or "", g) for (i, t, _), g in zip(sorted(data), brute_removed([t or "" for _, t, _ in sorted(data)]), strict=True)}
     got = {r["_id"]: r for r in removed(spark, data)}
     assert set(got) == set(want)
@@ -78,6 +77,22 @@ def test_suffix_dedup_repeated_rows_nulls_and_nothing(spark):
     assert removed(spark, []) == []
 
 
+def test_suffix_dedup_of_a_phrase_in_many_contexts(spark, monkeypatch):
+    """A gram with many stretches, met by several tasks that forget, with copies among them; the largest id and no id."""
+    import random
+
+    monkeypatch.setattr(suffix_dedup, "SEEN", 50)
+    rng = random.Random(8)
+    phrase = "".join(rng.choice("abcdefgh") for _ in range(110))
+    text = lambda k: "".join(rng.choice("qrstuvwxyz") for _ in range(k))
+    data = [text(rng.randint(0, 60)) + phrase + text(rng.randint(0, 60)) for _ in range(80)]
+    data = [(i, t, "x") for i, t in enumerate([*data, *data[:20], *data[:5]])]
+    data += [(suffix_dedup.NO_ID, data[0][1] + "q", "x"), (None, data[0][1] + "qz", "x")]
+    gone = brute_removed([t for _, t, _ in data])
+    got = {(r["_id"], r["n_bytes"]): r["n_removed"] for r in removed(spark, data)}
+    assert got == {(suffix_dedup.NO_ID if i is None else i, len(t)): int(g.sum()) for (i, t, _), g in zip(data, gone, strict=True)}
+
+
 def test_multikey_quicksort():
     w = np.random.default_rng(1).integers(0, 3, (700, 4)).astype(">u8")
     assert (w[suffix_dedup.multikey_quicksort(w)] == w[np.lexsort(w.T[::-1])]).all()
@@ -121,30 +136,45 @@ def test_quality_verdicts(spark):
 # --- operator 4
 
 
-def test_language_model_equals_brute_force(spark):
+def brute_scores(seqs, corpus):
+    """Stupid backoff with 3-grams, by the words of a corpus; a word that it doesn't have counts once."""
     from math import log
 
-    data = [(i, t) for i, t, *_ in rows()]
-    seqs = [words(t) for _, t in data]
-    counts = [Counter(tuple(w[k : k + n]) for w in seqs for k in range(len(w) - n + 1)) for n in (1, 2, 3)]
-    total = sum(map(len, seqs))
+    counts = [Counter(tuple(w[k : k + n]) for w in corpus for k in range(len(w) - n + 1)) for n in (1, 2, 3)]
+    total = sum(map(len, corpus)) or 1
 
     def score(w):
         s = 0.0
         for k in range(len(w)):
             for n in (3, 2, 1):
-                if k >= n - 1 and (n == 1 or counts[n - 1][tuple(w[k - n + 1 : k + 1])] >= 2):
+                here = counts[n - 1][tuple(w[k - n + 1 : k + 1])] if k >= n - 1 else 0
+                if n == 1 or here >= 1:
                     before = counts[n - 2][tuple(w[k - n + 1 : k])] if n > 1 else total
-                    s += log(counts[n - 1][tuple(w[k - n + 1 : k + 1])] / before) + (3 - n) * log(0.4)
+                    s += log(max(1, here) / before) + (3 - n) * log(0.4)
                     break
         return round(s, 3)
 
-    want = Counter((i, len(w), score(w)) for (i, _), w in zip(data, seqs, strict=True))
-    got = Counter((r["_id"], r["n_words"], round(r["log_score"], 3)) for r in language_model.scored(docs(spark), waves=2, block_chars=5000).collect())
-    assert got == want
+    return [score(w) for w in seqs]
+
+
+def test_language_model_equals_brute_force(spark):
+    data = [(i, t) for i, t, *_ in rows()]
+    seqs = [words(t) for _, t in data]
+    want = Counter((i, len(w), s) for (i, _), w, s in zip(data, seqs, brute_scores(seqs, seqs), strict=True))
+    for got in (language_model.scored(docs(spark), waves=2), language_model.scored_by(docs(spark), docs(spark))):
+        assert Counter((r["_id"], r["n_words"], round(r["log_score"], 3) + 0.0) for r in got.collect()) == want
     assert language_model.scored(empty(spark)).count() == 0
 
 
+def test_language_model_backs_off(spark):
+    corpus = ["a b c a b d", "b c e", "a"]
+    texts = ["a b c", "a b e", "x b c e", "c x", "", None, "a b c e a b d"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r["_id"]: (r["n_words"], round(r["log_score"], 3)) for r in language_model.scored_by(df, spark.createDataFrame([(t,) for t in corpus], "text string")).collect()}
+    want = brute_scores([words(t) for t in texts], [words(t) for t in corpus])
+    assert got == {i: (len(words(t)), s) for i, (t, s) in enumerate(zip(texts, want, strict=True))}
+
+
 # --- operator 7
 
 
@@ -172,6 +202,27 @@ def test_packing_round_trip(spark):
     assert packing.packed(empty(spark), path).count() == 0
 
 
+def test_ids_equal_the_library_on_all_documents(spark):
+    """Every text of the table, odd strings between its words, and runs of white space."""
+    import random
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    work = packing.Encoder(path, (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    model, rng = tokenizers.Tokenizer.from_file(path), random.Random(2)
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    odd = ["<|endoftext|>", "  ", "\t", "\n\n", " \n ", "'s", "it'll", "123", "4567 89", "\u00a0", "\u3000", "\u0301", "\u200d", "\U0001f600", "ß", "日本", "...", "$%", "\r\n", "a", " "]
+    for t in texts[::4]:
+        parts = t[:400].split(" ")
+        for _ in range(6):
+            parts.insert(rng.randrange(len(parts) + 1), rng.choice(odd))
+        texts.append(rng.choice([" ", "", "\n"]).join(parts))
+    texts += ["".join(rng.choice(odd) for _ in range(rng.randint(1, 30))) for _ in range(2000)]
+    for begin in range(0, len(texts), 500):
+        part = texts[begin : begin + 500]
+        want = [np.array(x.ids, dtype="<u4").tobytes() for x in model.encode_batch(part, add_special_tokens=False)]
+        assert work.encode(part) == want
+
+
 def test_plan_uses_all_pieces():
     import random
 
