@@ -7,6 +7,7 @@ recognised as repeated, child updates report no differences, a child can't move
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
@@ -31,6 +32,18 @@ class State:
     snapshot: dict | None = None  # document as last published
 
 
+def dump(state: State) -> str:
+    return json.dumps(state.__dict__)
+
+
+def load(text: str | None) -> State:
+    if not text:
+        return State()
+    d = json.loads(text)
+    d["last"] = {k: tuple(tuple(x) for x in v) for k, v in d["last"].items()}
+    return State(**d)
+
+
 def cohesive(document: dict | None) -> bool:
     return bool(document and (document.get("vehicle_uuid") or "").strip() and document.get("engine"))
 
@@ -117,8 +130,12 @@ class Runner:
     def __init__(self, mode: str = INTENDED, state: State | None = None) -> None:
         self.mode, self.state, self.stuck = mode, state or State(), False
 
+    @staticmethod
+    def waits(event: dict) -> dict:
+        return {"aggregate": event["aggregate"], "item": event["item"], "status": "blocked", "error": None}
+
     def step(self, event: dict) -> dict:
-        row = {"aggregate": event["aggregate"], "item": event["item"], "status": "blocked", "error": None}
+        row = self.waits(event)
         if not self.stuck:
             try:
                 self.state, change = fold(self.state, event, self.mode)

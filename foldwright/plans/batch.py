@@ -76,26 +76,43 @@ def replayed(log: DataFrame, key: str, order: list[str]) -> DataFrame:
     return log.dropDuplicates([key, "source", *order])
 
 
-def by_fold(log: DataFrame, mode: str = sequential.INTENDED) -> DataFrame:
+def by_fold(log: DataFrame, mode: str = sequential.INTENDED, states: DataFrame | None = None) -> DataFrame:
     """Rows of schema.CHANGE for a log of schema.LOG: the sequential fold over sorted partitions, one shuffle by aggregate.
 
-    Events stream through; a task holds one aggregate's state and one batch of rows.
+    Events stream through; a task holds one aggregate's state and one batch of rows. ``states``: (aggregate, state) to go on
+    from. With it the state after the log, as text, comes too: in a row of status ``state``, in the column error.
     """
+    names, kind, go_on = CHANGE.names, to_arrow_schema(CHANGE), states is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runner, key = None, None
+        runner, key, out = None, None, []
+
+        def ended() -> None:
+            if runner is not None and go_on:
+                out.append(dict.fromkeys(names) | {"aggregate": key, "status": "state", "error": sequential.dump(runner.state)})
+
         for part in batches:
-            out = []
             for row in part.to_pylist():
                 if runner is None or row["aggregate"] != key:
-                    runner, key = sequential.Runner(mode), row["aggregate"]
-                r = runner.step(event(row))
-                out.append({c: r.get(c) for c in CHANGE.names})
-            yield pa.RecordBatch.from_pylist(out, schema=to_arrow_schema(CHANGE))
-
+                    ended()
+                    runner, key = sequential.Runner(mode, sequential.load(row.get("state"))), row["aggregate"]
+                out.append(runner.step({**row, "lsn": order_of(row["lsn"])}))
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in out], type=kind.field(n).type) for n in names], schema=kind)
+            out.clear()
+        ended()
+        yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in out], type=kind.field(n).type) for n in names], schema=kind)
+
+    if go_on:
+        log = log.join(states.select("aggregate", "state"), "aggregate", "left")
     return log.repartition("aggregate").sortWithinPartitions("aggregate", "lsn", "item").mapInArrow(run, CHANGE)
 
 
+def order_of(lsn: dict) -> tuple:
+    """A pair of sequence numbers as tuples, which compare in order."""
+    a, b = lsn["commit"], lsn["change"]
+    return (a["vlf"], a["off"], a["slot"]), (b["vlf"], b["off"], b["slot"])
+
+
 def frame(rows: list[dict]) -> pd.DataFrame:
     """Rows of schema.CHANGE; what a row lacks is None."""
     return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in CHANGE.names})
@@ -103,9 +120,7 @@ def frame(rows: list[dict]) -> pd.DataFrame:
 
 def event(row: dict) -> dict:
     """A log row as the fold takes it."""
-    pair = plain(row["lsn"])
-    order = tuple(tuple(pair[side][p] for p in ("vlf", "off", "slot")) for side in ("commit", "change"))
-    return {**row, "lsn": order, "before": plain(row["before"]), "after": plain(row["after"])}
+    return {**row, "lsn": order_of(plain(row["lsn"])), "before": plain(row["before"]), "after": plain(row["after"])}
 
 
 def plain(value: object) -> object:

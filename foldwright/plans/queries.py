@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldwright.functions import backoff, fieldmask, lsn
+from foldwright.functions import backoff, fieldmask, lsn, wire
 from foldwright.functions.scalars import id_from
 from foldwright.operators import inventory, outbox, queue, routing
 from foldwright.plans import batch
 from foldwright.plans.logs import NOW_MS, PREFIX, derived, with_clause
 from foldwright.plans.scratch import scratch
 from foldwright.sources import envelope
-from foldwright.sources.schema import DOCUMENT, LOG, PARENT_ROW
+from foldwright.sources.schema import DOCUMENT, LOG, OUTBOX_ITEM, PARENT_ROW
+from foldwright.sources.store import EventLog, Store
 from foldwright.sources.tables import find
 from foldwright.streaming import stream
 
@@ -341,11 +342,11 @@ def q_fold_changes(spark: SparkSession, d: str) -> DataFrame:
     return _published_columns(batch.by_fold(_log2_events(spark, d)))
 
 
-def _streamed(spark: SparkSession, log: DataFrame, name: str) -> DataFrame:
+def _streamed(spark: SparkSession, log: DataFrame, name: str, states: DataFrame | None = None) -> DataFrame:
     stream.prepare(spark)
     source, out = scratch(spark, name), scratch(spark, f"{name}-out")
     log.write.parquet(source)
-    rows = stream.changes_stream(spark.readStream.schema(LOG).parquet(source))
+    rows = stream.changes_stream(spark.readStream.schema(LOG).parquet(source), states=states)
     stream.run_available(rows, out, scratch(spark, f"{name}-state"))
     return spark.read.parquet(out)
 
@@ -357,7 +358,24 @@ def q_stream_changes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(OUT_OF_ORDER)
 def q_stream_retry(spark: SparkSession, d: str) -> DataFrame:
-    return _streamed(spark, _wrong_log(spark, d), "stream-retry").select("item", "status").distinct()
+    rows = _streamed(spark, _wrong_log(spark, d), "stream-retry")
+    # an event has a row for each status that it came to; the last one counts
+    rank = F.when(F.col("status") == "processed", 3).when(F.col("status") == "failed", 2).otherwise(1)
+    return rows.groupBy("item").agg(F.max_by("status", rank).alias("status"))
+
+
+@query(f"{CHANGES2} SELECT {', '.join(CHANGE_COLUMNS)} FROM ch")
+def q_stream_backfill(spark: SparkSession, d: str) -> DataFrame:
+    """A snapshot in one batch run, its rows read as operation r, and the rest as a stream that begins with its states."""
+    log = _log2_events(spark, d)
+    phase = F.col("lsn.commit.vlf")
+    first = log.where(phase <= 2).withColumn("op", F.when(F.col("op") == "c", "r").otherwise(F.col("op")))
+    path = scratch(spark, "backfill")
+    none = spark.createDataFrame([], "aggregate string, state string")
+    batch.by_fold(first, states=none).write.parquet(path)
+    done = spark.read.parquet(path)
+    states = done.where("status = 'state'").select("aggregate", F.col("error").alias("state"))
+    return _published_columns(done.where("status <> 'state'").unionByName(_streamed(spark, log.where(phase > 2), "stream-rest", states)))
 
 
 def _document() -> Column:
@@ -385,6 +403,70 @@ def q_field_mask_new(spark: SparkSession, d: str) -> DataFrame:
     return df.select("k", F.concat_ws(",", fieldmask.mask_new(_document(), DOCUMENT)).alias("mask"))
 
 
+EVENT_ID = "md5(concat_ws('/', 'dbServer.dbo.Vehicles', CAST(user_id % 5 AS VARCHAR), CAST(event_id AS VARCHAR)))"
+EVENT_SQL = f"concat_ws('-', substr({EVENT_ID}, 1, 8), substr({EVENT_ID}, 9, 4), substr({EVENT_ID}, 13, 4), substr({EVENT_ID}, 17, 4), substr({EVENT_ID}, 21, 12))"
+
+
+def _event_log(spark: SparkSession, d: str) -> EventLog:
+    """Log 1's messages stored in two batches, the second of them twice."""
+    log, messages = EventLog(spark, scratch(spark, "events")), _messages(spark, d)
+    for batch_, part in ((0, F.col("offset") % 2 == 0), (1, F.col("offset") % 2 == 1), (1, F.col("offset") % 2 == 1)):
+        log.append(messages.where(part), batch_)
+    return log
+
+
+@query(f"{with_clause('log1')} SELECT {EVENT_SQL} AS event, 'dbServer.dbo.Vehicles' AS source, event_id AS source_offset, {KEY_SQL} AS event_key, op IS NULL AS empty, event_id * 10 + 2 AS event_ms FROM log1")
+def q_event_append(spark: SparkSession, d: str) -> DataFrame:
+    return _event_log(spark, d).events().select("event", "source", "source_offset", "event_key", (F.col("message") == "{}").alias("empty"), "event_ms")
+
+
+@query(f"SELECT {EVENT_SQL} AS event, CASE WHEN event_id % 3 <> 0 THEN 2 ELSE 0 END AS n_headers, CASE WHEN event_id % 3 <> 0 THEN CAST(user_id % 5 AS VARCHAR) END AS partition_id, CASE WHEN event_id % 3 <> 0 THEN event_type END AS h FROM events")
+def q_event_headers(spark: SparkSession, d: str) -> DataFrame:
+    get = lambda k: F.try_element_at("metadata", F.lit(k)).cast("string")
+    return _event_log(spark, d).with_headers().select("event", F.size("metadata").alias("n_headers"), get("Partition").alias("partition_id"), get("h").alias("h"))
+
+
+PICK_OUTBOX = f"""{LOCKED},
+heads AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY aggregate ORDER BY outbox_ms, item) AS rn FROM outbox WHERE processed_at IS NULL) WHERE rn = 1),
+avail AS (SELECT aggregate FROM heads WHERE coalesce(next_retry, 0) <= {NOW_MS} AND aggregate NOT IN (SELECT aggregate FROM locked) ORDER BY outbox_ms, aggregate LIMIT 300),
+cand AS (SELECT * FROM outbox WHERE processed_at IS NULL AND aggregate IN (SELECT aggregate FROM avail) ORDER BY outbox_ms, aggregate, item LIMIT 300)"""
+
+
+@query(f"{with_clause('outbox', 'registry', 'locks')}, {PICK_OUTBOX} SELECT item, cand.aggregate, outbox_ms, lock_id FROM (SELECT * FROM cand ORDER BY outbox_ms, aggregate, item LIMIT 25) cand JOIN registry ON registry.aggregate = cand.aggregate")
+def q_pick_outbox_locks(spark: SparkSession, d: str) -> DataFrame:
+    picked = queue.pick_batch(derived(spark, d, "outbox"), 25, 12, NOW_MS, _blocked(spark, d), queue.OUTBOX)
+    return picked.join(derived(spark, d, "registry"), "aggregate").select("item", "aggregate", "outbox_ms", "lock_id")
+
+
+@query(f"""{CHANGES2} SELECT concat_ws('/', CAST(k AS VARCHAR), CAST(phase AS VARCHAR), CAST(n AS VARCHAR)) AS item, 'Vehicles' AS topic, CAST(k AS VARCHAR) AS key, event_type, CAST(k AS VARCHAR) AS entity, revision_number,
+ CASE WHEN event_type = 'VehicleDeleted' THEN revision_number - 1 END AS last_revision, CASE WHEN event_type <> 'VehicleDeleted' THEN coalesce(flag, '') END AS manufacturer, CASE WHEN event_type <> 'VehicleDeleted' THEN yr END AS yr, CASE WHEN event_type <> 'VehicleDeleted' THEN model END AS model, 50000 AS processed_at FROM ch""")
+def q_publish(spark: SparkSession, d: str) -> DataFrame:
+    """All changes through the outbox: envelopes as JSON, published round by round, then marked."""
+    ch = _changes(spark, d).withColumn("changed_at_ms", F.col("phase") * 1000 + F.col("n")).withColumn("has_child", F.col("event_type") != "VehicleDeleted")
+    gone = F.col("event_type") == "VehicleDeleted"
+    payload = outbox.change_json(F.col("event_type"), F.when(~gone, _document()), F.col("revision_number"), F.when(gone, F.col("revision_number") - 1), F.col("changed_at_ms"), F.col("k").cast("string"), F.filter(F.split("field_mask", ","), lambda p: p != ""))
+    item = F.concat_ws("/", *(F.col(c).cast("string") for c in ("k", "phase", "n")))
+    store, sent = Store(spark, scratch(spark, "outbox"), {"outbox": OUTBOX_ITEM}), scratch(spark, "sent")
+    store.commit(outbox=outbox.outbox_items(ch, item, payload, key="k").withColumn("aggregate", F.col("aggregate").cast("string")))
+    while outbox.publish(store, outbox.folder_sink(sent), 50_000, batch=1_000_000):
+        pass
+    messages = spark.read.schema("item string, topic string, key string, value string").parquet(sent)
+    get = lambda p: F.get_json_object("value", p)
+    vehicle = F.col("event_type") != "VehicleDeleted"
+    rows = messages.join(store.read("outbox").select("item", "processed_at"), "item").withColumn("event_type", F.substring_index(get("$.event['@type']"), ".", -1))
+    return rows.select("item", "topic", "key", "event_type", get("$.entityUuid").alias("entity"), get("$.revisionNumber").cast("long").alias("revision_number"), F.when(~vehicle, F.coalesce(get("$.event.vehicleRevisionNumber").cast("long"), F.lit(0))).alias("last_revision"), F.when(vehicle, F.coalesce(get("$.resultingState.engine.manufacturer"), F.lit(""))).alias("manufacturer"), F.when(vehicle, get("$.event.vehicle.yearOfManufacture").cast("int")).alias("yr"), F.when(vehicle, get("$.resultingState.model")).alias("model"), F.col("processed_at").cast("int").alias("processed_at"))
+
+
+@query(f"{CHANGES2} SELECT {', '.join(CHANGE_COLUMNS)} FROM ch")
+def q_change_codec(spark: SparkSession, d: str) -> DataFrame:
+    """Changes in binary form and back."""
+    ch = _changes(spark, d).withColumn("has_child", F.col("event_type") != "VehicleDeleted")
+    gone = F.col("event_type") == "VehicleDeleted"
+    change = F.struct(F.col("k").cast("string").alias("entity_uuid"), (F.col("phase") * 1000 + F.col("n")).cast("long").alias("changed_at_ms"), "event_type", "revision_number", F.when(gone, F.col("revision_number") - 1).alias("vehicle_revision_number"), F.filter(F.split("field_mask", ","), lambda p: p != "").alias("field_mask"), F.when(~gone, _document()).alias("resulting_state"))
+    back = ch.select(wire.encoded(change).alias("b")).select(wire.decoded(F.col("b")).alias("c")).select("c.*")
+    return back.select(F.col("entity_uuid").cast("long").alias("k"), F.floor(F.col("changed_at_ms") / 1000).cast("int").alias("phase"), (F.col("changed_at_ms") % 1000).alias("n"), "event_type", "revision_number", F.array_join("field_mask", ",").alias("field_mask"))
+
+
 PAYLOAD = "concat_ws('|', event_type, CAST(revision_number AS VARCHAR), field_mask)"
 
 

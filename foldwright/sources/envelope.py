@@ -17,23 +17,37 @@ def json_text(value: Column) -> Column:
     return F.coalesce(F.when(F.trim(value) != "", value), F.lit("{}"))
 
 
-def payload_text(value: Column) -> Column:
-    """Text of the top-level ``payload``, whatever the case of its name; null if there is none."""
-    entries = F.map_entries(F.from_json(json_text(value), "map<string,string>"))
-    return F.get(F.filter(entries, lambda e: F.lower(e["key"]) == "payload"), F.lit(0))["value"]
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns, each computed once a row: no filter or projection above a generator takes their text in."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
-def present(text: Column) -> Column:
-    """A JSON container with children; null, {} and [] are absent."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("null")), r"\s", "")
-    return bare.rlike(r"^[\[{]") & ~bare.isin("{}", "[]")
+def fields(value: Column) -> Column:
+    """The fields of a variant that is an object, else null."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
 
 
-def decode_key(key: Column) -> Column:
+def payload(parsed: Column) -> Column:
+    """The top-level ``payload``, whatever the case of its name; null if there is none."""
+    return F.get(F.filter(F.map_entries(fields(parsed)), lambda e: F.lower(e["key"]) == "payload"), F.lit(0))["value"]
+
+
+def present(value: Column) -> Column:
+    """A container with children; anything else is absent."""
+    size = F.coalesce(F.size(fields(value)), F.size(F.try_variant_get(value, "$", "array<variant>")))
+    return value.isNotNull() & F.coalesce(size > 0, F.lit(False))
+
+
+def key_of(parsed: Column) -> Column:
     """The id in a message key ``{"payload": {name: id}}``; without exactly one field the nil id; a malformed id is null."""
-    fields = F.from_json(payload_text(key), "map<string,string>")
-    one = F.get(F.map_values(fields), F.lit(0))
-    return F.when(F.coalesce(F.size(fields), F.lit(0)) != 1, F.lit(NIL)).when(is_uuid(one), F.lower(F.trim(one)))
+    own = F.coalesce(F.map_values(fields(payload(parsed))), F.array().cast("array<variant>"))
+    one = F.try_variant_get(F.get(own, F.lit(0)), "$", "string")
+    return F.when(F.size(own) != 1, F.lit(NIL)).when(is_uuid(one), F.lower(F.trim(one)))
+
+
+def image(value: Column, row: T.StructType) -> Column:
+    """A row image as ``row``; what doesn't fit a field's type is null there."""
+    return F.struct(*(F.try_variant_get(value, f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in row))
 
 
 def headers_map(headers: Column, partition: Column) -> Column:
@@ -42,36 +56,33 @@ def headers_map(headers: Column, partition: Column) -> Column:
     return F.when(headers.isNull(), F.create_map().cast("map<string,binary>")).otherwise(F.map_concat(F.map_from_entries(headers), own))
 
 
-def well_formed(value: Column) -> Column:
-    return F.try_parse_json(json_text(value)).isNotNull()
-
-
 def decode(messages: DataFrame, row: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(good, rejects) of change messages with the columns of schema.MESSAGE.
 
     Good rows: topic, offset, key_id, tombstone, op, lsn pair, ts_ms, before and after as ``row``. Rejects keep the
-    message and have ``error``. Nothing is dropped: each message is in one of the two.
+    message and have ``error``. Nothing is dropped: each message is in one of the two. Value and key are each parsed once.
     """
-    payload = payload_text(F.col("value"))
-    part = lambda p: F.get_json_object("_payload", p)
-    df = messages.withColumn("_ok", well_formed(F.col("value"))).withColumn("_payload", F.when(F.col("_ok"), payload))
-    df = df.select("*", F.lower(part("$.op")).alias("op"), part("$.before").alias("_before"), part("$.after").alias("_after"), F.lower(part("$.source.change_lsn")).alias("change_lsn"), F.lower(part("$.source.commit_lsn")).alias("commit_lsn"), part("$.source.ts_ms").cast("long").alias("source_ts_ms"), part("$.ts_ms").cast("long").alias("publish_ts_ms"), decode_key(F.col("key")).alias("key_id"))
-    df = df.withColumn("tombstone", F.col("_ok") & ~present(F.col("_payload"))).withColumn("error", _error())
+    get = lambda p, kind="string": F.try_variant_get("_payload", p, kind)
+    df = once(messages, _value=F.try_parse_json(json_text(F.col("value"))), _key=F.try_parse_json(json_text(F.col("key"))))
+    df = once(df, _payload=payload(F.col("_value")), key_id=key_of(F.col("_key")))
+    df = once(df, op=F.lower(get("$.op")), _before=get("$.before", "variant"), _after=get("$.after", "variant"), change_lsn=F.lower(get("$.source.change_lsn")), commit_lsn=F.lower(get("$.source.commit_lsn")), source_ts_ms=get("$.source.ts_ms", "long"), publish_ts_ms=get("$.ts_ms", "long"), tombstone=F.col("_value").isNotNull() & ~present(F.col("_payload")))
+    df = once(df, _has_before=present(F.col("_before")), _has_after=present(F.col("_after")))
+    df = once(df, error=_error())
     pair = lsn.pair(F.col("commit_lsn"), F.col("change_lsn"))
     good = df.where("error IS NULL").select(
         "topic", "partition", "offset", "timestamp_ms", "key_id", "tombstone", "op", F.when(~F.col("tombstone"), pair).alias("lsn"), "source_ts_ms", "publish_ts_ms",
-        F.when(present(F.col("_before")), F.from_json("_before", row)).alias("before"), F.when(present(F.col("_after")), F.from_json("_after", row)).alias("after"), headers_map(F.col("headers"), F.col("partition")).alias("headers"),
+        F.when(F.col("_has_before"), image(F.col("_before"), row)).alias("before"), F.when(F.col("_has_after"), image(F.col("_after"), row)).alias("after"), headers_map(F.col("headers"), F.col("partition")).alias("headers"),
     )
     return good, df.where("error IS NOT NULL").select(*messages.columns, "error")
 
 
 def _error() -> Column:
     """The first rule that a message breaks; tombstones break none."""
-    before, after, op = present(F.col("_before")), present(F.col("_after")), F.col("op")
+    before, after, op = F.col("_has_before"), F.col("_has_after"), F.col("op")
     bad_shape = F.when(op.isin("c", "r"), ~after | before).when(op == "u", ~after | ~before).when(op == "d", ~before | after)
     return (
         F.when(F.col("key").isNull(), "no key")
-        .when(~F.col("_ok"), "malformed json")
+        .when(F.col("_value").isNull(), "malformed json")
         .when(F.col("key_id").isNull(), "malformed key")
         .when(F.col("tombstone"), F.lit(None).cast("string"))
         .when(op.isNull() | ~op.isin(*OPS), "unknown operation")

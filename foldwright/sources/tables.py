@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
-from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -89,19 +88,23 @@ def scalar(df: DataFrame) -> object:
 
 
 def overwrite_atomically(df: DataFrame, path: str) -> None:
-    """Writes a new version beside ``path`` and swaps it in; readers see the old or the new table, never half of one."""
+    """Writes a new table beside ``path`` and swaps it in; readers see the old or the new table, never half of one.
+
+    File systems can't replace a folder in one step, so between two renames there is no table for a moment; ``store.Store``
+    has no such gap.
+    """
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    p = PurePosixPath(path.split("://")[-1])
-    new, old = (path.replace(p.name, f".{p.name}.{x}") for x in ("new", "old"))
-    df.write.mode("overwrite").parquet(new)
-    to = lambda x: jvm.org.apache.hadoop.fs.Path(x)
-    fs = to(path).getFileSystem(conf)
-    fs.delete(to(old), True)
-    if fs.exists(to(path)):
-        fs.rename(to(path), to(old))
-    fs.rename(to(new), to(path))
-    fs.delete(to(old), True)
+    to = lambda *x: jvm.org.apache.hadoop.fs.Path(*x)
+    here = to(path)
+    new, old = (to(here.getParent(), f".{here.getName()}.{x}") for x in ("new", "old"))
+    df.write.mode("overwrite").parquet(new.toString())
+    fs = here.getFileSystem(conf)
+    fs.delete(old, True)
+    if fs.exists(here):
+        fs.rename(here, old)
+    fs.rename(new, here)
+    fs.delete(old, True)
 
 
 def to_kafka_rows(messages: DataFrame) -> DataFrame:
