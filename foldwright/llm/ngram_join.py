@@ -318,6 +318,7 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     of_hot = index.groupBy("_id").agg(F.sum((F.col("_times") > hot).cast("long")).alias("_hot"))
     need = saved(classes.select("_id", F.col("n").alias("_n"), "_often", *PARITY).join(of_hot, "_id"), "need")
     n_need = need.count()
+    spare = [times, index, need]  # tables that the result doesn't read
     label = need.withColumn("_component", F.col("_id"))
 
     def bounded(a: str, b: str) -> Column:
@@ -358,7 +359,8 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
         """Labels after more links; links between components are enough."""
         nonlocal links
         links = components(new if links is None else links.unionByName(new))
-        return saved(need.join(links.select(F.col("_a").alias("_id"), F.col("_b").alias("_component")), "_id", "left").withColumn("_component", F.coalesce("_component", "_id")), "labels")
+        spare.append(out := saved(need.join(links.select(F.col("_a").alias("_id"), F.col("_b").alias("_component")), "_id", "left").withColumn("_component", F.coalesce("_component", "_id")), "labels"))
+        return out
 
     def mixed_keys(rows: DataFrame) -> DataFrame:
         """The rows of keys whose members lie in several components, with all of their labels."""
@@ -390,18 +392,18 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
         lead = groups.groupBy("_key").agg(F.max_by("_id", F.struct("_hot", "_often", F.xxhash64("_id"))).alias("_lead"))
         led = saved(groups.select("_key", "_id").join(lead, "_key").where("_id <> _lead").select("_id", "_lead").distinct(), "led")
         sets = sets_of(led.select("_id").unionByName(led.select(F.col("_lead").alias("_id"))))
-        apart = saved(split(led, sets, scheme), "apart")
+        spare.append(apart := saved(split(led, sets, scheme), "apart"))
         forget(led, sets)
         new = saved(apart.where("_key IS NULL AND _linked").select(F.col("_id").alias("_a"), F.col("_lead").alias("_b")), "links")
         label = grown(new) if not new.isEmpty() else label
     forget(groups)
 
-    now = saved(mixed_keys(index.where(F.col("_times") <= hot)).drop("_times"), "now")
+    spare.append(now := saved(mixed_keys(index.where(F.col("_times") <= hot)).drop("_times"), "now"))
     two = (F.col("x._id") < F.col("y._id")) & bounded("x", "y")
     pairs = now.alias("x").join(now.alias("y"), (F.col("x._key") == F.col("y._key")) & two)
     pairs = pairs.groupBy(F.col("x._id").alias("_a"), F.col("y._id").alias("_b")).agg(F.count("*").alias("_shared"), F.first(least("x", "y")).alias("_least")).where("_shared >= _least").select("_a", "_b")
     if apart is not None:
-        rest = saved(mixed_keys(apart.where("_key IS NOT NULL").drop("_lead")), "rest")
+        spare.append(rest := saved(mixed_keys(apart.where("_key IS NOT NULL").drop("_lead")), "rest"))
         # of two, one at least does not link to the lead; it may look where it does not index
         roles = (~F.col("x._linked") | ~F.col("y._linked")) & (F.col("x._own") | F.col("y._own")) & (F.col("x._own") | F.col("y._linked")) & (F.col("y._own") | F.col("x._linked"))
         more = rest.alias("x").join(rest.alias("y"), (F.col("x._key") == F.col("y._key")) & two & roles)
@@ -409,6 +411,7 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     new = checked(pairs)
     if not new.isEmpty():
         grown(new)
+    forget(*spare)
     lowest = classes.select("_id", "_least")
     if links is not None:
         rooted = lowest.join(links.select(F.col("_a").alias("_id"), F.col("_b").alias("_root")), "_id", "left").withColumn("_root", F.coalesce("_root", "_id"))
