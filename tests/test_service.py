@@ -41,7 +41,7 @@ def inventory():
 
 def test_aggregator_from_messages_to_topic(spark, tmp_path):
     log, sent = inventory().log, []
-    engine = Aggregator(spark, str(tmp_path / "a"), lambda m, n: sent.extend(m.orderBy("item").collect()), parents="parent", children="child", batch_size=3)
+    engine = Aggregator(spark, str(tmp_path / "a"), lambda m, n: sent.extend(m.orderBy("item").collect()), parents="parent", children="child", batch_size=5)
     bad = spark.createDataFrame([("parent", 0, 900, 1, None, "{", None)], MESSAGE)
     assert engine.ingest(messages(spark, log).unionByName(bad), 0) == len(log)
     assert engine.ingest(messages(spark, log).unionByName(bad), 0) == 0  # comes again
