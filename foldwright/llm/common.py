@@ -8,8 +8,10 @@ import shutil
 import tempfile
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,6 +98,18 @@ def _clean() -> None:
             return
 
 
+def slices(batch: pa.RecordBatch, at: int, chars: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about so many characters."""
+    begin, size = 0, 0
+    for i, n in enumerate(pc.utf8_length(batch.column(at)).to_pylist()):
+        size += n or 0
+        if size >= chars:
+            yield batch.slice(begin, i + 1 - begin)
+            begin, size = i + 1, 0
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 def mapped(df: DataFrame, run: Callable, added: list[T.StructField]) -> DataFrame:
     """``df.mapInArrow`` where ``run`` adds columns at the end; columns may have any names, which it doesn't see."""
     inner = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate([*df.schema.fields, *added])]

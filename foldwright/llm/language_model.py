@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from foldwright.llm.common import WORD, forget, saved, table
 from foldwright.llm.ngram_join import SPACES, STEP, _batches
-from foldwright.llm.suffix_dedup import _inverse_powers, _mixed, prefix_hashes, span_hash
+from foldwright.llm.hashing import inverse_powers, mixed, prefix_hashes, span_hash
 
 
 def words_of_texts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +41,7 @@ def words_of_texts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     sums, _ = prefix_hashes(raw, 5)
     first = np.cumsum([0, *(len(r) + 1 for r in raws)])
     owner = np.searchsorted(first, begin, side="right") - 1
-    return span_hash(sums, _inverse_powers(len(raw)), begin, end), np.bincount(owner, minlength=len(raws))
+    return span_hash(sums, inverse_powers(len(raw)), begin, end), np.bincount(owner, minlength=len(raws))
 
 
 def grams(word: np.ndarray, count: np.ndarray, order: int) -> list[np.ndarray]:
@@ -51,7 +51,7 @@ def grams(word: np.ndarray, count: np.ndarray, order: int) -> list[np.ndarray]:
     for n in range(1, order + 1):
         h = np.full(len(word), n, dtype=np.uint64)
         for k in range(n - 1, -1, -1):
-            h = _mixed(h * STEP + np.concatenate([np.zeros(min(k, len(word)), np.uint64), word[: max(0, len(word) - k)]]))
+            h = mixed(h * STEP + np.concatenate([np.zeros(min(k, len(word)), np.uint64), word[: max(0, len(word) - k)]]))
         out.append(np.where(place >= n - 1, np.maximum(h, 1), 0).astype(np.uint64))
     return out
 

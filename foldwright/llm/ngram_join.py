@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldwright.llm.common import forget, saved, sized, table
-from foldwright.llm.suffix_dedup import _inverse_powers, _mixed, prefix_hashes, span_hash
+from foldwright.llm.hashing import inverse_powers, mixed, prefix_hashes, span_hash
 
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -46,14 +46,14 @@ def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.nd
     edge = np.diff(np.concatenate([[True], blank]).astype(np.int8))
     begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     sums, _ = prefix_hashes(raw, 3)
-    word = span_hash(sums, _inverse_powers(len(raw)), begin, end)
+    word = span_hash(sums, inverse_powers(len(raw)), begin, end)
     first = np.cumsum([0, *(len(r) + 1 for r in raws)])
     doc = np.searchsorted(first, begin, side="right") - 1
     count = np.bincount(doc, minlength=len(raws))
     full = np.flatnonzero(doc[: max(0, len(doc) - words + 1)] == doc[words - 1 :]) if len(doc) >= words else np.zeros(0, np.int64)
     gram = np.full(len(full), words, dtype=np.uint64)
     for k in range(words):
-        gram = _mixed(gram * STEP + word[full + k])
+        gram = mixed(gram * STEP + word[full + k])
     owner = doc[full]
     short = np.flatnonzero((count > 0) & (count < words))
     if short.size:
@@ -61,7 +61,7 @@ def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.nd
         few = count[short].astype(np.uint64)
         own = few.copy()
         for k in range(words - 1):
-            own = np.where(few > k, _mixed(own * STEP + word[np.minimum(at[short] + k, len(word) - 1)]), own)
+            own = np.where(few > k, mixed(own * STEP + word[np.minimum(at[short] + k, len(word) - 1)]), own)
         gram, owner = np.concatenate([gram, own]), np.concatenate([owner, short])
     order = np.lexsort((gram, owner))
     gram, owner = gram[order], owner[order]
@@ -112,14 +112,14 @@ class Scheme:
         while g <= last:  # those of the smaller set of any similar two
             common = order[: self.prefix(n, g + 1)]
             common = tokens[common[rank[common] >= 0]]
-            bucket = _mixed(common ^ STEP) >> np.uint64(40) & np.uint64(g - 1)
+            bucket = mixed(common ^ STEP) >> np.uint64(40) & np.uint64(g - 1)
             by = np.lexsort((common, bucket))
             common, bucket = common[by], bucket[by]
             for d in range(1, len(common)):
                 low = np.flatnonzero(bucket[d:] == bucket[:-d])
                 if not low.size:
                     break
-                out.append(_mixed(common[low] * STEP + _mixed(common[low + d])))
+                out.append(mixed(common[low] * STEP + mixed(common[low + d])))
             g *= 2
         return np.unique(np.concatenate(out)), often
 
@@ -129,7 +129,7 @@ def parities(tokens: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
 
     Places where two sets differ are at most as many as tokens in which they differ.
     """
-    place = _mixed(tokens) >> np.uint64(56)
+    place = mixed(tokens) >> np.uint64(56)
     bit = np.uint64(1) << (place & np.uint64(63))
     has = np.flatnonzero(sizes > 0)
     out = np.zeros((4, len(sizes)), dtype=np.uint64)
@@ -246,7 +246,7 @@ def split(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
             for x, y, lead in zip(batch.column("_x"), batch.column("_y"), leads.view(np.uint64), strict=True):
                 linked, tokens, index = difference(*(np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y)), shared.value)
                 with np.errstate(over="ignore"):
-                    rows.append((linked, _mixed(_mixed(tokens) + lead * STEP), index))
+                    rows.append((linked, mixed(mixed(tokens) + lead * STEP), index))
             n = np.array([1 + len(k) for _, k, _ in rows], dtype=np.int64)
             row = pa.array(np.repeat(np.arange(len(rows)), n))
             place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -371,46 +371,47 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     if not unique:  # rows that repeat an id are linked
         twice = repeats.where("_b <> _high").select("_doc", "_b")
         label = grown(saved(members.join(twice, "_doc").where("_id <> _b").select(F.col("_id").alias("_a"), "_b").distinct(), "links"))
-    for r in range(rounds):  # a head start only: what follows is exact
-        now = index.join(sized(label, n_need, 200_000), "_id")
-        # the first leader has the most frequent tokens, so that a group's original leads it
-        turn = F.struct(F.col("_often") if r == 0 else F.lit(0), F.xxhash64("_id", F.lit(r)))
-        lead = now.groupBy("_key").agg(F.max_by(F.struct(*label.columns), turn).alias("_lead"), F.min("_component").alias("_low"), F.max("_component").alias("_high")).where("_low <> _high").select("_key", "_lead")
-        met = now.select("_key", F.struct(*label.columns).alias("_own")).join(lead, "_key").where(bounded("_own", "_lead"))
-        pairs = met.groupBy(F.col("_own._id").alias("_a"), F.col("_lead._id").alias("_b")).agg(F.count("*").alias("_shared"), F.first(least("_own", "_lead") + F.least("_own._hot", "_lead._hot")).alias("_least"))
-        best = F.row_number().over(Window.partitionBy("_a").orderBy(F.desc("_shared"), "_b"))
-        pairs = pairs.where("2 * _shared >= _least").withColumn("_turn", best).where("_turn <= 2").select("_a", "_b").distinct()
+    if n_need:
+        for r in range(rounds):  # a head start only: what follows is exact
+            now = index.join(sized(label, n_need, 200_000), "_id")
+            # the first leader has the most frequent tokens, so that a group's original leads it
+            turn = F.struct(F.col("_often") if r == 0 else F.lit(0), F.xxhash64("_id", F.lit(r)))
+            lead = now.groupBy("_key").agg(F.max_by(F.struct(*label.columns), turn).alias("_lead"), F.min("_component").alias("_low"), F.max("_component").alias("_high")).where("_low <> _high").select("_key", "_lead")
+            met = now.select("_key", F.struct(*label.columns).alias("_own")).join(lead, "_key").where(bounded("_own", "_lead"))
+            pairs = met.groupBy(F.col("_own._id").alias("_a"), F.col("_lead._id").alias("_b")).agg(F.count("*").alias("_shared"), F.first(least("_own", "_lead") + F.least("_own._hot", "_lead._hot")).alias("_least"))
+            best = F.row_number().over(Window.partitionBy("_a").orderBy(F.desc("_shared"), "_b"))
+            pairs = pairs.where("2 * _shared >= _least").withColumn("_turn", best).where("_turn <= 2").select("_a", "_b").distinct()
+            new = checked(pairs)
+            if new.isEmpty():
+                break
+            label = grown(new)
+
+        apart: DataFrame | None = None
+        groups = saved(mixed_keys(index.where(F.col("_times") > hot)).select("_key", "_id", "_often", "_hot"), "hot")
+        if not groups.isEmpty():
+            # the member with the most hot keys leads: of near copies, one that has what most have
+            lead = groups.groupBy("_key").agg(F.max_by("_id", F.struct("_hot", "_often", F.xxhash64("_id"))).alias("_lead"))
+            led = saved(groups.select("_key", "_id").join(lead, "_key").where("_id <> _lead").select("_id", "_lead").distinct(), "led")
+            sets = sets_of(led.select("_id").unionByName(led.select(F.col("_lead").alias("_id"))))
+            spare.append(apart := saved(split(led, sets, scheme), "apart"))
+            forget(led, sets)
+            new = saved(apart.where("_key IS NULL AND _linked").select(F.col("_id").alias("_a"), F.col("_lead").alias("_b")), "links")
+            label = grown(new) if not new.isEmpty() else label
+        forget(groups)
+
+        spare.append(now := saved(mixed_keys(index.where(F.col("_times") <= hot)).drop("_times"), "now"))
+        two = (F.col("x._id") < F.col("y._id")) & bounded("x", "y")
+        pairs = now.alias("x").join(now.alias("y"), (F.col("x._key") == F.col("y._key")) & two)
+        pairs = pairs.groupBy(F.col("x._id").alias("_a"), F.col("y._id").alias("_b")).agg(F.count("*").alias("_shared"), F.first(least("x", "y")).alias("_least")).where("_shared >= _least").select("_a", "_b")
+        if apart is not None:
+            spare.append(rest := saved(mixed_keys(apart.where("_key IS NOT NULL").drop("_lead")), "rest"))
+            # of two, one at least does not link to the lead; it may look where it does not index
+            roles = (~F.col("x._linked") | ~F.col("y._linked")) & (F.col("x._own") | F.col("y._own")) & (F.col("x._own") | F.col("y._linked")) & (F.col("y._own") | F.col("x._linked"))
+            more = rest.alias("x").join(rest.alias("y"), (F.col("x._key") == F.col("y._key")) & two & roles)
+            pairs = pairs.unionByName(more.select(F.col("x._id").alias("_a"), F.col("y._id").alias("_b"))).distinct()
         new = checked(pairs)
-        if new.isEmpty():
-            break
-        label = grown(new)
-
-    apart: DataFrame | None = None
-    groups = saved(mixed_keys(index.where(F.col("_times") > hot)).select("_key", "_id", "_often", "_hot"), "hot")
-    if not groups.isEmpty():
-        # the member with the most hot keys leads: of near copies, one that has what most have
-        lead = groups.groupBy("_key").agg(F.max_by("_id", F.struct("_hot", "_often", F.xxhash64("_id"))).alias("_lead"))
-        led = saved(groups.select("_key", "_id").join(lead, "_key").where("_id <> _lead").select("_id", "_lead").distinct(), "led")
-        sets = sets_of(led.select("_id").unionByName(led.select(F.col("_lead").alias("_id"))))
-        spare.append(apart := saved(split(led, sets, scheme), "apart"))
-        forget(led, sets)
-        new = saved(apart.where("_key IS NULL AND _linked").select(F.col("_id").alias("_a"), F.col("_lead").alias("_b")), "links")
-        label = grown(new) if not new.isEmpty() else label
-    forget(groups)
-
-    spare.append(now := saved(mixed_keys(index.where(F.col("_times") <= hot)).drop("_times"), "now"))
-    two = (F.col("x._id") < F.col("y._id")) & bounded("x", "y")
-    pairs = now.alias("x").join(now.alias("y"), (F.col("x._key") == F.col("y._key")) & two)
-    pairs = pairs.groupBy(F.col("x._id").alias("_a"), F.col("y._id").alias("_b")).agg(F.count("*").alias("_shared"), F.first(least("x", "y")).alias("_least")).where("_shared >= _least").select("_a", "_b")
-    if apart is not None:
-        spare.append(rest := saved(mixed_keys(apart.where("_key IS NOT NULL").drop("_lead")), "rest"))
-        # of two, one at least does not link to the lead; it may look where it does not index
-        roles = (~F.col("x._linked") | ~F.col("y._linked")) & (F.col("x._own") | F.col("y._own")) & (F.col("x._own") | F.col("y._linked")) & (F.col("y._own") | F.col("x._linked"))
-        more = rest.alias("x").join(rest.alias("y"), (F.col("x._key") == F.col("y._key")) & two & roles)
-        pairs = pairs.unionByName(more.select(F.col("x._id").alias("_a"), F.col("y._id").alias("_b"))).distinct()
-    new = checked(pairs)
-    if not new.isEmpty():
-        grown(new)
+        if not new.isEmpty():
+            grown(new)
     forget(*spare)
     lowest = classes.select("_id", "_least")
     if links is not None:

@@ -18,14 +18,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import tiktoken
 import tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwright.llm.common import saved, table
+from foldwright.llm.common import saved, slices, table
 
 SEEN = 400_000  # segments whose ids a worker remembers
 _workers: dict[str, Encoder] = {}
@@ -115,7 +114,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, *, ranks: tuple[str, str] | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = encoder(tokenizer_path, ranks)
         for whole in batches:
-            for batch in _slices(whole, at, batch_chars):
+            for batch in slices(whole, at, batch_chars):
                 ids = [x + end for x in work.encode(batch.column(at).to_pylist())]
                 row, piece, start, length, part = [], [], [], [], []
                 for i, x in enumerate(ids):
@@ -133,18 +132,6 @@ def tokenize(docs: DataFrame, tokenizer_path: str, *, ranks: tuple[str, str] | N
     return docs.mapInArrow(run, schema)
 
 
-def _slices(batch: pa.RecordBatch, at: int, chars: int) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about so many characters."""
-    begin, size = 0, 0
-    for i, n in enumerate(pc.utf8_length(batch.column(at)).to_pylist()):
-        size += n or 0
-        if size >= chars:
-            yield batch.slice(begin, i + 1 - begin)
-            begin, size = i + 1, 0
-    if begin < batch.num_rows:
-        yield batch.slice(begin)
-
-
 @dataclass
 class Pattern:
     """So many sequences, each of ``times`` pieces of each length."""

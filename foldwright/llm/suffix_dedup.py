@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldwright.llm.common import saved, table
+from foldwright.llm.hashing import MIX, PRIME, inverse_powers, mixed, powers, prefix_hashes, span_hash
 
 LENGTH = 100
 GRAM = 30
@@ -39,40 +40,6 @@ RIGHT = LENGTH  # most bytes of a suffix that matter
 LEFT = WINDOW - 1  # most bytes before it
 NO_ID = np.iinfo(np.int64).max
 SEEN = 300_000  # stretches a task remembers
-PRIME = np.uint64(0x9E3779B97F4A7C15)
-MIX = np.uint64(0xD6E8FEB86659FD93)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * MIX
-    return x ^ (x >> np.uint64(29))
-
-
-def _powers(n: int) -> np.ndarray:
-    out = np.ones(n + 1, dtype=np.uint64)
-    out[1:] = PRIME
-    return np.multiply.accumulate(out)
-
-
-def prefix_hashes(raw: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of byte values times powers, and the powers: hashes of any stretch by subtraction."""
-    values = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(2 * seed + 3))[raw]
-    power = _powers(len(raw))
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * power[:-1])]), power
-
-
-def span_hash(sums: np.ndarray, inverse: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of bytes begin to end wherever they stand."""
-    return _mixed((sums[end] - sums[begin]) * inverse[begin])
-
-
-_inverse = np.uint64(pow(int(PRIME), -1, 2**64))
-
-
-def _inverse_powers(n: int) -> np.ndarray:
-    out = np.full(n + 1, _inverse, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
 
 
 def stretches(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> dict[str, np.ndarray]:
@@ -80,7 +47,7 @@ def stretches(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> dict[str,
     strings, anchor's distance from there, hash of the anchor's gram, and of all bytes (its low bits: the strings)."""
     if len(raw) < LENGTH:
         return {k: np.zeros(0, np.int64) for k in ("text", "start", "n", "rel", "gram", "body")}
-    inverse = _inverse_powers(len(raw))
+    inverse = inverse_powers(len(raw))
     sums, _ = prefix_hashes(raw, 1)
     at = np.arange(len(raw) - GRAM + 1)
     grams = span_hash(sums, inverse, at, at + GRAM)
@@ -103,7 +70,7 @@ def stretches(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> dict[str,
     sums2, _ = prefix_hashes(raw, 2)
     body = span_hash(sums2, inverse, where[first], where[first] + n + LENGTH - 1)
     rel = anchor[first] - where[first]
-    body = (_mixed(body + rel.astype(np.uint64)) & ~np.uint64(127)) | n.astype(np.uint64)
+    body = (mixed(body + rel.astype(np.uint64)) & ~np.uint64(127)) | n.astype(np.uint64)
     return {"text": text[first], "start": place[first], "n": n, "rel": rel, "gram": grams[anchor[first]].view(np.int64), "body": body.view(np.int64)}
 
 
@@ -209,18 +176,18 @@ def resolve(ids: np.ndarray, hashes: np.ndarray, start: np.ndarray, n: np.ndarra
     rank[np.lexsort((start + rel, hashes, ids))] = np.arange(len(keys))
     h1, h2 = np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.uint64)
     sums1 = np.zeros((len(keys), RIGHT + 1), np.uint64)
-    sums1[:, 1:] = np.cumsum(_mixed(keys[:, :RIGHT].astype(np.uint64) + np.uint64(1)) * _powers(RIGHT)[:-1], axis=1)
+    sums1[:, 1:] = np.cumsum(mixed(keys[:, :RIGHT].astype(np.uint64) + np.uint64(1)) * powers(RIGHT)[:-1], axis=1)
     late_row, late_at, open_row, open_at, open1, open2 = [], [], [], [], [], []
     for o in range(LEFT + 1):
         if o:
             byte = keys[:, RIGHT + o - 1].astype(np.uint64) + np.uint64(1)
-            h1, h2 = h1 * PRIME + _mixed(byte), h2 * MIX + _mixed(byte + np.uint64(7))
+            h1, h2 = h1 * PRIME + mixed(byte), h2 * MIX + mixed(byte + np.uint64(7))
         has = np.flatnonzero((o <= rel) & (o > rel - n))
         if not has.size:
             continue
         right = LENGTH - o
         group = np.concatenate([[0], np.cumsum(common < right)])[has].astype(np.uint64)
-        key = _mixed(h1[has] + group * MIX) ^ h2[has]
+        key = mixed(h1[has] + group * MIX) ^ h2[has]
         by = np.lexsort((rank[has], key))
         again = np.flatnonzero(key[by[1:]] == key[by[:-1]])
         a, b = has[by[again + 1]], has[by[again]]
@@ -234,8 +201,8 @@ def resolve(ids: np.ndarray, hashes: np.ndarray, start: np.ndarray, n: np.ndarra
         if across.size:
             open_row.append(across)
             open_at.append(start[across] + rel[across] - o)
-            open1.append(_mixed(h1[across] ^ _mixed(sums1[across, right])))
-            open2.append(_mixed(h2[across] + sums1[across, right] * PRIME + np.uint64(o)))
+            open1.append(mixed(h1[across] ^ mixed(sums1[across, right])))
+            open2.append(mixed(h2[across] + sums1[across, right] * PRIME + np.uint64(o)))
     row, at = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (late_row, late_at))
     by = np.lexsort((at, row))
     row, at = row[by], at[by]

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwright.llm.common import mapped, table
+from foldwright.llm.common import mapped, slices, table
 
 TOKEN = re.compile(r"[^\W_]+")
 CUT = 64  # tokens in a training sequence
@@ -330,18 +330,11 @@ def tag(docs: DataFrame, model: Field, *, text_col: str = "text", out_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = shared.value.matcher()
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            out, part, size = [], [], 0
-            for t in texts:
-                part.append(t)
-                size += len(t or "")
-                if size >= chunk_chars:
-                    out += score_texts(part, shared.value, matcher)
-                    part, size = [], 0
-            out += score_texts(part, shared.value, matcher) if part else []
-            kind = pa.struct([("score", pa.float64()), ("n_tokens", pa.int64()), ("n_toxic_tokens", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, type=kind)], names=[*batch.schema.names, f"c{batch.num_columns}"])
+        kind = pa.struct([("score", pa.float64()), ("n_tokens", pa.int64()), ("n_toxic_tokens", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])))])
+        for whole in batches:
+            for batch in slices(whole, at, chunk_chars):
+                out = score_texts(batch.column(at).to_pylist(), shared.value, matcher)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, type=kind)], names=[*batch.schema.names, f"c{batch.num_columns}"])
 
     return mapped(docs, run, [T.StructField(out_col, SCHEMA)])
 
