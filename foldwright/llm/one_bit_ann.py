@@ -129,7 +129,7 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & ok & F.exists(v, lambda x: x != 0)
 
 
-def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", is_query: Column | None = None, k: int = 20, probes: int = 4, eps: float = 3.0) -> DataFrame:
+def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", is_query: Column | None = None, k: int = 20, probes: int = 16, eps: float = 2.0) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row for which ``is_query`` (on ``_id``) holds; ``probes``: cells that give the bar."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"))
