@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import json
 import shutil
 import tempfile
@@ -110,6 +112,13 @@ def slices(batch: pa.RecordBatch, at: int, chars: int) -> Iterator[pa.RecordBatc
         yield batch.slice(begin)
 
 
+def released() -> None:
+    """Gives memory that a worker has freed back to the system; workers live on after their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mapped(df: DataFrame, run: Callable, added: list[T.StructField]) -> DataFrame:
     """``df.mapInArrow`` where ``run`` adds columns at the end; columns may have any names, which it doesn't see."""
     inner = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate([*df.schema.fields, *added])]

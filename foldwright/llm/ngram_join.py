@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import forget, saved, sized, table
+from foldwright.llm.common import forget, released, saved, sized, table
 from foldwright.llm.hashing import inverse_powers, mixed, prefix_hashes, span_hash
 
 SPACES = np.zeros(256, dtype=bool)
@@ -171,6 +171,7 @@ def frequent_tokens(docs: DataFrame, words: int, most: int = 100_000, share: flo
                 n += len(sizes)
             t, c = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.append(t, 0)), pa.array(np.append(c, 0).astype(np.int64)), pa.array(np.append(np.zeros(len(t)), n).astype(np.int64))], names=["t", "c", "docs"])
+        released()
 
     met = docs.mapInArrow(run, "t long, c long, docs long").groupBy("t").agg(F.sum("c").alias("c"), F.sum("docs").alias("docs"))
     met = saved(met, "frequent")
@@ -193,6 +194,7 @@ def sketched(docs: DataFrame, words: int, scheme: Scheme) -> DataFrame:
                 d1, d2 = _digests(parts)
                 keys, often = zip(*(s.keys(p) for p in parts), strict=True)
                 yield pa.RecordBatch.from_arrays([ids.slice(begin, len(texts)), pa.array(sizes.astype(np.int64)), pa.array(d1), pa.array(d2), pa.array([k.tobytes() for k in keys], type=pa.binary()), pa.array(often, pa.int64()), *map(pa.array, parities(tokens, sizes))], names=["_id", "n", "_d1", "_d2", "_keys", "_often", *PARITY])
+        released()
 
     return docs.mapInArrow(run, "_id long, n long, _d1 long, _d2 long, _keys binary, _often long, _b0 long, _b1 long, _b2 long, _b3 long")
 
@@ -274,6 +276,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 same = int((both[1:] == both[:-1]).sum())
                 ok.append(100 * same >= percent * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([batch.column("_a"), batch.column("_b")], names=["_a", "_b"]).filter(pa.array(ok, type=pa.bool_()))
+        released()
 
     x = sets.select(F.col("_id").alias("_a"), F.col("_set").alias("_x"))
     y = sets.select(F.col("_id").alias("_b"), F.col("_set").alias("_y"))
@@ -439,6 +442,7 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
                 asked = [batch.column(c).slice(begin, len(part)).to_numpy() for c in (2, 3)]
                 out = pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(part)), pa.array([p.tobytes() for p in parts], type=pa.binary())], names=["_id", "_set"])
                 yield out.filter(pa.array((d1 == asked[0]) & (d2 == asked[1])))
+        released()
 
     return texts.mapInArrow(run, "_id long, _set binary")
 

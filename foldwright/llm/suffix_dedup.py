@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import saved, table
+from foldwright.llm.common import released, saved, table
 from foldwright.llm.hashing import MIX, PRIME, inverse_powers, mixed, powers, prefix_hashes, span_hash
 
 LENGTH = 100
@@ -110,6 +110,8 @@ def scan(docs: DataFrame, batch_bytes: int = 1_500_000) -> DataFrame:
                 kind = np.concatenate([kind, np.full(len(marks), MARK, dtype=np.int32)])
                 body = np.where(kind == MARK, ~s["body"][every], s["body"][every])
                 yield pa.RecordBatch.from_arrays([pa.array(s["gram"][every]), pa.array(body), pa.array(doc[every]), pa.array(hsh[every]), *(pa.array(s[c][every].astype(np.int32)) for c in ("start", "n", "rel")), pa.array(kind)], names=[c.split()[0] for c in SCAN.split(", ")])
+        seen.clear()
+        released()
 
     return docs.mapInArrow(run, SCAN)
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwright.llm.common import mapped, slices, table
+from foldwright.llm.common import mapped, released, slices, table
 
 TOKEN = re.compile(r"[^\W_]+")
 CUT = 64  # tokens in a training sequence
@@ -335,6 +335,7 @@ def tag(docs: DataFrame, model: Field, *, text_col: str = "text", out_col: str =
             for batch in slices(whole, at, chunk_chars):
                 out = score_texts(batch.column(at).to_pylist(), shared.value, matcher)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, type=kind)], names=[*batch.schema.names, f"c{batch.num_columns}"])
+        released()
 
     return mapped(docs, run, [T.StructField(out_col, SCHEMA)])
 
