@@ -6,9 +6,11 @@ up; for single words count / all words. A document's score is the sum of the log
 ``scored`` takes the documents as their own corpus, so every n-gram of theirs has a count and a word gives up an order only
 where its text has too few words before it. Then a document's sum is one of weights times log(count) over its n-grams:
 one for each n-gram of the full order, minus one for each history. So it is relational: n-grams are exploded to rows (n-gram,
-document, weight, times), summed by n-gram to the count table, joined to it, and summed by document. Ranges of the n-grams'
-hashes go in waves, whose files go one after another, so all n-grams never lie on disk together. Rows are summed by document
-and n-gram, and those without a weight by batch, before they move; counts are partial sums, and Spark splits skewed joins.
+document, weight, times), partitioned by hash, given their n-gram's count and summed by document. The count table and its join
+to the n-grams share one exchange, as a sum over each n-gram: a join of both costs twice the disk and half as much CPU
+again, beyond the limits. Ranges of the hashes go in waves, whose files go one after another, so all n-grams never
+lie on disk together. Rows are summed by document and n-gram, and those without a weight by batch, before they move; so an
+n-gram has a row for each document that it counts in, which spill where they are many.
 
 ``scored_by`` scores documents by another corpus, word by word, and backs off where an n-gram has no count.
 
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldwright.llm.common import WORD, forget, saved, table
@@ -84,7 +86,7 @@ def exploded(texts: DataFrame, order: int, wave: int, waves: int, batch_chars: i
                     here = np.flatnonzero((h > 0) & ((h >> np.uint64(32)) * np.uint64(waves) >> np.uint64(32) == wave))
                     found.append((h[here], np.where(w[here] != 0, owner[here], -1), w[here]))
                 gram, doc, weight = (np.concatenate(x) for x in zip(*found, strict=True))
-                by = np.lexsort((doc, gram))
+                by = np.argsort(gram, kind="stable")  # documents come in order
                 gram, doc, weight = gram[by], doc[by], weight[by]
                 new = np.ones(len(gram), dtype=bool)
                 new[1:] = (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])
@@ -97,18 +99,17 @@ def exploded(texts: DataFrame, order: int, wave: int, waves: int, batch_chars: i
     return texts.mapInArrow(run, EXPLODED)
 
 
-def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, factor: float = 0.4, waves: int = 6) -> DataFrame:
+def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, factor: float = 0.4, waves: int = 5) -> DataFrame:
     """(_id, n_words, log_score) of each row, by the counts of all rows."""
     n_words = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
     texts = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("_text"), F.col(id_col).cast("long").alias("_id"), n_words.alias("n_words"))
     texts = saved(texts, "texts")
     sums: DataFrame | None = None
     for wave in range(waves):
-        part = saved(exploded(texts.select("_row", "_text"), order, wave, waves), "grams")
-        counts = part.groupBy("_gram").agg(F.sum("_times").alias("_count"))
-        met = part.where("_weight <> 0").select("_gram", "_row", "_weight").join(counts, "_gram")
+        part = exploded(texts.select("_row", "_text"), order, wave, waves)
+        # the range's count table and its join to the n-grams, over one exchange: each row gets its n-gram's total
+        met = part.withColumn("_count", F.sum("_times").over(Window.partitionBy("_gram"))).where("_weight <> 0")
         own = saved(met.groupBy("_row").agg(F.sum(F.col("_weight") * F.log("_count")).alias("_sum")), "sums")
-        forget(part)
         sums = own if sums is None else sums.unionByName(own)
     all_words = texts.agg(F.sum("n_words")).first()[0] or 1
     # the first word's denominator, and the orders that the first words give up
