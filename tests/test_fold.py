@@ -132,3 +132,31 @@ def test_inventory_cascade():
         inv.add_parent(1, "m", key="x", new_key=p)
     with pytest.raises(KeyError):
         inv.update_parent(p, 1, "m")
+
+
+def test_stream_takes_rows_and_reads_its_state_once():
+    from foldwright.streaming import stream
+    from pyspark.sql import Row
+
+    class Value:
+        def __init__(self):
+            self.calls, self.now = [], None
+
+        def get(self):
+            self.calls.append("get")
+            return self.now
+
+        def exists(self):
+            self.calls.append("exists")
+            return self.now is not None
+
+        def update(self, new):
+            self.calls.append("update")
+            self.now = new
+
+    folding = stream.Folding()
+    folding.value, folding.waiting = Value(), None
+    one = Row(vlf=1, off=1, slot=0)
+    row = Row(aggregate="a", item="i", source="parent", op="c", lsn=Row(commit=one, change=one), ts_ms=1, before=None, after=Row(vehicle_uuid="a", year_of_manufacture=1, model="m", engine=None))
+    assert [(r.item, r.status) for r in folding.handleInputRows(("a",), iter([row]), None)] == [("i", "processed")]
+    assert folding.value.calls == ["get", "update"]
