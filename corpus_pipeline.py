@@ -87,7 +87,8 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, each as often as brings its source's words near its target; so some go.
+    """Whole documents, each as often as the method's seeded blocks take its words, rounded to whole times so that each source's
+    words come near its target; so some go.
 
     Texts without words have no weight in the mix and stay once. Rows repeating id, source and text are taken equally often.
     """

@@ -78,15 +78,25 @@ def by_turns(n: int) -> list[float]:
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weigh: Callable[[int], list[float]] = by_turns, most: int = 3, block: int = 16, shard_words: int = 32_768, seed: int = 5) -> DataFrame:
-    """One row a document: ``_id, _source, _text_hash``, size, source_size, target, taken, passes (whole ones) and extra
-    (its first word lies in a chosen block).
+    """One row a document: ``_id, _source, _text_hash``, size, source_size, target, taken and passes (whole ones).
 
     ``weigh``: weights of so many sources, in order of code points, null last. The driver sees one row a source.
     """
-    spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.xxhash64(text_col).alias("_text_hash"), n_words(F.col(text_col)).alias("size"))
+    slim = saved(sizes_of(docs, id_col, text_col, source_col), "mix")
+    return in_blocks(slim, weigh, most, block, shard_words, seed).select("_id", "_source", "_text_hash", "size", "source_size", "target", "taken", "passes")
+
+
+def sizes_of(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.xxhash64(text_col).alias("_text_hash"), n_words(F.col(text_col)).alias("size"))
+
+
+def in_blocks(slim: DataFrame, weigh: Callable[[int], list[float]], most: int, block: int, shard_words: int, seed: int) -> DataFrame:
+    """Rows (_id, _source, _text_hash, size) with what the method takes of each: blocks go to sources, then to their shards, by
+    highest quotients, and a shard's quota chooses seeded blocks. Adds _at, _shard, source_size, target, taken and passes.
+    """
+    spark = slim.sparkSession
     order = F.xxhash64(F.lit(seed), "_id", "_text_hash")
-    slim = saved(slim.withColumn("_order", order).withColumn("_cell", F.pmod(F.xxhash64(F.lit(seed + 1), "_order"), F.lit(CELLS)).cast("int")), "mix")
+    slim = slim.withColumn("_order", order).withColumn("_cell", F.pmod(F.xxhash64(F.lit(seed + 1), "_order"), F.lit(CELLS)).cast("int"))
     sources = slim.groupBy("_source").agg(F.sum("size").alias("n")).orderBy(F.col("_source").asc_nulls_last()).collect()
     sizes = [r["n"] for r in sources]
     goal = targets(sizes, weigh(len(sizes)), most)
@@ -120,21 +130,21 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         return chosen(b) * block + (chosen(b + 1) - chosen(b)) * (x - b * block)
 
     begin = F.col("_end") - F.col("size")
-    first = F.floor(begin / block)
-    return out.select("_id", "_source", "_text_hash", "size", "source_size", "target", (F.col("passes") * F.col("size") + words(F.col("_end")) - words(begin)).cast("long").alias("taken"), "passes", (some & (F.col("size") > 0) & (chosen(first + 1) > chosen(first))).alias("extra"))
+    taken = (F.col("passes") * F.col("size") + words(F.col("_end")) - words(begin)).cast("long")
+    return out.select("_id", "_source", "_text_hash", "size", "_order", "_at", "_shard", "source_size", "target", taken.alias("taken"), "passes")
 
 
-def chosen_whole(weight: np.ndarray, share: float, later: int = 0) -> np.ndarray:
-    """Which documents to take, given long ones first, to get ``share`` of all and of the words that come ``later``.
+def chosen_whole(weight: np.ndarray, part: np.ndarray, later: int = 0, later_part: float = 0.0) -> np.ndarray:
+    """Which documents to take whole, given long ones first, where blocks take ``part`` of the words of each: to get as many
+    words as the parts have, with those of documents that come ``later``.
 
     By the running remainder, unless what is left to take would then be below zero or more than the documents after it hold.
     """
     take, carry = np.zeros(len(weight), dtype=bool), 0.0
-    after = int(weight.sum()) + later
-    left = share * after
-    for i, w in enumerate(weight.tolist()):
+    after, left = int(weight.sum()) + later, float(part.sum()) + later_part
+    for i, (w, p) in enumerate(zip(weight.tolist(), part.tolist(), strict=True)):
         after -= w
-        carry += share * w
+        carry += p
         over, under = max(0.0, w - left), max(0.0, left - after)
         if over <= under if over or under else 2 * carry >= w:
             take[i] = True
@@ -143,52 +153,54 @@ def chosen_whole(weight: np.ndarray, share: float, later: int = 0) -> np.ndarray
     return take
 
 
-def whole(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weigh: Callable[[int], list[float]] = by_turns, most: int = 3, shard_words: int = 1_048_576, seed: int = 5) -> DataFrame:
-    """(_id, _source, _text_hash, _times): how often to take each document whole, so that a source comes near its target.
+def whole(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weigh: Callable[[int], list[float]] = by_turns, most: int = 3, block: int = 16, shard_words: int = 1_048_576, seed: int = 5) -> DataFrame:
+    """(_id, _source, _text_hash, _times): how often to take each document whole, by the blocks that ``mix`` takes of it.
 
-    Whole passes go to all; for the rest the documents of at least 1 / LONG of their source's words are chosen first,
-    longest first, and the shorter ones, by shard, take up what these left. A source whose words all lie in documents too
-    long for its target keeps its shortest one. Rows repeating id, source and text are one document as long as all of them;
-    texts without words are taken once. The driver sees one row a source.
+    The quotas of sources and shards and the seeded blocks are those of the method. Whole passes go to all documents. What the chosen
+    blocks hold of the words beyond is rounded to whole documents by a running remainder: first those of at least
+    1 / LONG of their source's words, longest first, and then the shorter ones, by shard, which take up what these left. A source
+    whose words all lie in documents too long for its target keeps its shortest one. Rows repeating id, source and text are
+    one document as long as all of them; texts without words are taken once. The driver sees one row a source.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.xxhash64(text_col).alias("_text_hash"), n_words(F.col(text_col)).alias("size"))
-    slim = saved(slim.groupBy("_id", "_source", "_text_hash").agg(F.sum("size").alias("_weight")), "whole")
-    sources = slim.groupBy("_source").agg(F.sum("_weight").alias("n")).orderBy(F.col("_source").asc_nulls_last()).collect()
-    sizes = [r["n"] for r in sources]
-    goal = [min(t, most * n) for t, n in zip(targets(sizes, weigh(len(sizes)), most), sizes, strict=True)]
-    passes = [int(t // n) if n else 0 for t, n in zip(goal, sizes, strict=True)]
-    names = [(r["_source"], i, n, max(1, min(CELLS, -(-n // shard_words)))) for i, (r, n) in enumerate(zip(sources, sizes, strict=True))]
-    placed = slim.where("_weight > 0").join(sized(small_table(spark, names, "_name string, _at long, _n long, _shards long"), len(names)), F.col("_source").eqNullSafe(F.col("_name"))).drop("_name")
-    order = F.xxhash64(F.lit(seed), "_id", "_text_hash")
-    placed = placed.withColumn("_order", order).withColumn("_long", F.col("_weight") * LONG >= F.col("_n"))
-    short = {r["_at"]: r["n"] for r in placed.where("NOT _long").groupBy("_at").agg(F.sum("_weight").alias("n")).collect()}
+    slim = sizes_of(docs, id_col, text_col, source_col)
+    slim = saved(slim.groupBy("_id", "_source", "_text_hash").agg(F.sum("size").alias("size")), "whole")
+    kinds = dict(slim.dtypes)
+    placed = in_blocks(slim, weigh, most, block, shard_words, seed).where("size > 0").withColumn("_part", (F.col("taken") - F.col("passes") * F.col("size")).cast("double"))
+    placed = saved(placed.withColumn("_long", F.col("size") * LONG >= F.col("source_size")), "placed")
+    names = "_at", "_target", "_words", "_part", "_later", "_later_part", "_passes"
+    of = lambda c, long: F.coalesce(F.sum(F.when(F.col("_long") == long, F.col(c))), F.lit(0))
+    sources = placed.groupBy("_at").agg(F.first("target"), of("size", True), of("_part", True).cast("double"), of("size", False), of("_part", False).cast("double"), F.max("passes")).toDF(*names).collect()
 
     def choose(part: pa.Table) -> pa.Table:
-        weight, order, text = (part.column(c).to_numpy() for c in ("_weight", "_order", "_text_hash"))
+        weight, order, text = (part.column(c).to_numpy() for c in ("size", "_order", "_text_hash"))
         part = part.take(pa.array(np.lexsort((text, order, -weight))))
-        share, once = part.column("_share")[0].as_py(), part.column("_passes")[0].as_py()
-        take = chosen_whole(part.column("_weight").to_numpy(), share, part.column("_later")[0].as_py())
-        take[-1] |= "_shard" not in part.column_names and part.column("_later")[0].as_py() == 0 and not take.any() and once == 0 and share > 0
-        return part.select(["_id", "_source", "_text_hash", "_at", "_weight"]).append_column("_times", pa.array(once + take.astype(np.int64)))
-
-    def taken(part: DataFrame, keys: list[str], shares: list[tuple]) -> DataFrame:
-        part = part.join(sized(small_table(spark, shares, "_at long, _share double, _passes long, _later long"), len(shares)), "_at")
-        kinds = dict(slim.dtypes)
-        return part.groupBy(*keys).applyInArrow(choose, f"_id {kinds['_id']}, _source {kinds['_source']}, _text_hash long, _at long, _weight long, _times long")
-
-    rest = [t - p * n for t, p, n in zip(goal, passes, sizes, strict=True)]
-    shares = [(i, r / n, p, short.get(i, 0)) for i, (r, p, n) in enumerate(zip(rest, passes, sizes, strict=True)) if n]
-    out = taken(placed.where("_long"), ["_at"], shares)
+        weight, some = part.column("size").to_numpy(), part.column("_part").to_numpy()
+        later, later_part, alone = (part.column(c)[0].as_py() for c in ("_later", "_later_part", "_alone"))
+        take = chosen_whole(weight, some, later, later_part)
+        take[-1] |= alone and not take.any()
+        return part.select(["_id", "_source", "_text_hash", "_at", "size"]).append_column("_times", pa.array(part.column("passes").to_numpy() + take.astype(np.int64))).append_column("_extra", pa.array(take))
+
+    def taken(part: DataFrame, keys: list[str], rows: list[tuple], ddl: str) -> DataFrame:
+        part = part.join(sized(small_table(spark, rows, f"_at long, {ddl}"), len(rows)), "_at")
+        return part.groupBy(*keys).applyInArrow(choose, f"_id {kinds['_id']}, _source {kinds['_source']}, _text_hash long, _at long, size long, _times long, _extra boolean")
+
+    known = [(r["_at"], r["_later"], r["_later_part"], r["_later"] == 0 and r["_passes"] == 0 and r["_target"] > 0) for r in sources]
+    out = taken(placed.where("_long"), ["_at"], known, "_later long, _later_part double, _alone boolean")
+    short = [r for r in sources if r["_later"]]
     if short:
         out = saved(out, "long")
-        got = {r["_at"]: r["n"] for r in out.groupBy("_at").agg(F.sum(F.col("_weight") * F.col("_times")).alias("n")).collect()}
-        words = {i: n - short[i] for i, n in enumerate(sizes) if i in short}
-        left = {i: rest[i] - (got.get(i, 0) - passes[i] * words[i]) for i in short}
-        shares = [(i, min(1.0, max(0.0, left[i] / short[i])), passes[i], 0) for i in sorted(short)]
-        cell = F.pmod(F.xxhash64(F.lit(seed + 1), "_order"), F.col("_shards"))
-        out = out.unionByName(taken(placed.where("NOT _long").withColumn("_shard", cell), ["_at", "_shard"], shares))
-    empty = slim.where("_weight = 0").select("_id", "_source", "_text_hash", F.lit(1).cast("long").alias("_times"))
+        got = {r["_at"]: r["n"] for r in out.where("_extra").groupBy("_at").agg(F.sum("size").alias("n")).collect()}
+        # the words that the long ones left or took too many, over the shorter ones by what blocks leave or take of each
+        rows = []
+        for r in short:
+            left = r["_part"] - got.get(r["_at"], 0)
+            free = r["_later"] - r["_later_part"]
+            rows.append((r["_at"], min(1.0, left / free) if left > 0 and free > 0 else 0.0, max(0.0, 1 + left / r["_later_part"]) if left < 0 and r["_later_part"] > 0 else 1.0))
+        some = F.col("_part") * F.col("_less") + (F.col("size") - F.col("_part")) * F.col("_more")
+        rest = placed.where("NOT _long").join(sized(small_table(spark, rows, "_at long, _more double, _less double"), len(rows)), "_at").withColumn("_part", some)
+        out = out.unionByName(taken(rest, ["_at", "_shard"], [(r["_at"], 0, 0.0, False) for r in short], "_later long, _later_part double, _alone boolean"))
+    empty = slim.where("size = 0").select("_id", "_source", "_text_hash", F.lit(1).cast("long").alias("_times"))
     return out.select("_id", "_source", "_text_hash", "_times").unionByName(empty)
 
 

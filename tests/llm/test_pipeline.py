@@ -113,6 +113,21 @@ def test_mixing_comes_near_targets(spark, folder, monkeypatch, long):
     assert max(Counter(r["doc_id"] for r in kept).values()) <= 3
 
 
+def test_mixing_follows_quotas_and_blocks(spark, monkeypatch):
+    seats, apportion = [], mixing.apportion
+    monkeypatch.setattr(mixing, "apportion", lambda weights, n: seats.append(apportion(weights, n)) or seats[-1])
+    rng = random.Random(14)
+    rows = [(i, " ".join(f"w{rng.randint(0, 99)}" for _ in range(rng.randint(1, 90))), "abc"[i % 7 % 3]) for i in range(400)] + [(400, "", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    times = {r["_id"]: r["_times"] for r in mixing.whole(docs).collect()}
+    assert len(seats) == 1 and len(seats[0]) == 4  # blocks go to all sources, that without words included
+    mixed = {r["_id"]: r for r in mixing.mix(docs, shard_words=1_048_576).collect()}
+    assert all(0 <= times[i] - r["passes"] <= 1 for i, r in mixed.items() if r["size"]) and times[400] == 1
+    for s in "abc":
+        own = [r for r in mixed.values() if r["_source"] == s]
+        assert abs(sum(times[r["_id"]] * r["size"] - r["taken"] for r in own)) <= 45
+
+
 def test_a_source_of_one_long_text_stays(spark, folder):
     docs = spark.createDataFrame([(i, " ".join(["w"] * n), "en", s, 1, 1, "x", None, 1, "y") for i, (s, n) in enumerate([("a", 10_000), ("b", 9_000)])], SCHEMA)
     assert {r["source"] for r in pipeline.mix_sources(spark, docs, folder).select("source").collect()} == {"a", "b"}
