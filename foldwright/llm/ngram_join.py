@@ -20,6 +20,7 @@ has no links and a null component; rows that repeat an id count as linked; repea
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ SPACES[[0x20, *range(0x09, 0x0E)]] = True
 STEP = np.uint64(0xA0761D6478BD642F)
 HOT = 1000  # most members of a key that meet pair by pair
 CHARS = 500_000  # characters that a worker handles at once
+WAVE = 32_000_000  # bytes of sets that pairs may move at once; or an eighth of all sets, if that is more
 PARITY = ["_b0", "_b1", "_b2", "_b3"]  # of the set's tokens, by 256 places
 
 
@@ -263,8 +265,8 @@ def split(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
     return pairs.join(x, "_id").join(y, "_lead").select("_id", "_lead", "_x", "_y").mapInArrow(run, "_id long, _lead long, _linked boolean, _key long, _own boolean")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (_a, _b) whose whole sets are similar enough."""
+def verified(pairs: DataFrame, sets: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """The pairs (_a, _b) whose whole sets, of _a in ``sets`` and of _b in ``others``, are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,10 +281,23 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         released()
 
     x = sets.select(F.col("_id").alias("_a"), F.col("_set").alias("_x"))
-    y = sets.select(F.col("_id").alias("_b"), F.col("_set").alias("_y"))
+    y = others.select(F.col("_id").alias("_b"), F.col("_set").alias("_y"))
     return pairs.join(x, "_a").join(y, "_b").select("_a", "_b", "_x", "_y").mapInArrow(run, "_a long, _b long")
 
 
+def in_waves(pairs: DataFrame, sets: DataFrame, waves: int) -> Iterator[tuple[DataFrame, DataFrame, DataFrame]]:
+    """The pairs in so many parts, each with the sets of its _a and those that hold all of its _b."""
+    if waves == 1:
+        yield pairs, sets, sets
+        return
+    for w in range(waves):
+        of = lambda c: F.pmod(F.xxhash64(c), F.lit(waves)) == w  # noqa: B023, E731
+        part = pairs.where(of("_a"))
+        others = saved(part.select(F.col("_b").alias("_id")).distinct(), "others")
+        yield part, sets.where(of("_id")), sets.join(sized(others, others.count(), 200_000), "_id", "left_semi")
+        forget(others)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(_a, _b): each id with a link to a smaller one, and the smallest that it reaches; by large and small stars.
 
@@ -310,18 +325,23 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     scheme = Scheme(percent, frequent_tokens(texts, words))
     sketch = saved(sketched(texts, words, scheme), "sketch")
     known = sketch.where("_id IS NOT NULL AND n > 0")
+    alone = saved(sketch.where("_id IS NULL OR n = 0").select("_id", "n", F.col("_id").alias("_component")), "alone")
     # a class is known by a number; its texts by the least id and the digest of the set
     classes = known.groupBy("_d1", "_d2", "n").agg(F.min("_id").alias("_least"), *(F.max(c).alias(c) for c in ("_keys", "_often", *PARITY)))
-    classes = saved(classes.withColumn("_id", F.monotonically_increasing_id()), "classes")
+    keyed = saved(classes.withColumn("_id", F.monotonically_increasing_id()), "keyed")
+    classes = saved(keyed.drop("_keys"), "classes")
     members = saved(known.select(F.col("_id").alias("_doc"), "_d1", "_d2", "n").join(classes.select("_d1", "_d2", "n", "_id"), ["_d1", "_d2", "n"]).select("_doc", "n", "_id"), "members")
+    at_once = max(WAVE, known.agg(F.sum("n")).first()[0] or 0)
+    forget(sketch)  # keys are most of what is stored, and go as soon as the index is made
     repeats = saved(members.groupBy("_doc").agg(F.min("_id").alias("_b"), F.max("_id").alias("_high"), F.count("*").alias("_c")).where("_c > 1"), "repeats")
     unique = repeats.isEmpty()
-    times = saved(exploded(classes).groupBy("_key").agg(F.count("*").alias("_times")).where("_times > 1"), "times")
-    index = saved(exploded(classes).join(times, "_key"), "index")
+    times = saved(exploded(keyed).groupBy("_key").agg(F.count("*").alias("_times")).where("_times > 1"), "times")
+    index = saved(exploded(keyed).join(times, "_key"), "index")
+    forget(keyed, times)
     of_hot = index.groupBy("_id").agg(F.sum((F.col("_times") > hot).cast("long")).alias("_hot"))
     need = saved(classes.select("_id", F.col("n").alias("_n"), "_often", *PARITY).join(of_hot, "_id"), "need")
     n_need = need.count()
-    spare = [times, index, need]  # tables that the result doesn't read
+    spare = [index, need]  # tables that the result doesn't read
     label = need.withColumn("_component", F.col("_id"))
 
     def bounded(a: str, b: str) -> Column:
@@ -352,7 +372,9 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
         """The pairs that link; sets are made for their texts alone and go again."""
         pairs = saved(pairs, "pairs")
         sets = sets_of(pairs.select(F.explode(F.array("_a", "_b")).alias("_id")))
-        new = saved(verified(pairs, sets, percent), "links")
+        n, bytes_ = sets.agg(F.count("*"), F.sum(F.octet_length("_set"))).first()
+        waves = -(-pairs.count() * (bytes_ or 0) // (max(1, n) * at_once)) or 1  # a set moves once for each of its pairs
+        new = reduce(DataFrame.unionByName, [saved(verified(*part, percent), "links") for part in in_waves(pairs, sets, waves)])
         forget(pairs, sets)
         return new
 
@@ -421,7 +443,6 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
         rooted = lowest.join(links.select(F.col("_a").alias("_id"), F.col("_b").alias("_root")), "_id", "left").withColumn("_root", F.coalesce("_root", "_id"))
         lowest = rooted.select("_id", "_root").join(rooted.groupBy("_root").agg(F.min("_least").alias("_least")), "_root").select("_id", "_least")
     whole = members.join(lowest, "_id").select(F.col("_doc").alias("_id"), "n", F.col("_least").alias("_component"))
-    alone = sketch.where("_id IS NULL OR n = 0").select("_id", "n", F.col("_id").alias("_component"))
     return whole.unionByName(alone)
 
 

@@ -373,3 +373,35 @@ def test_parities_bound_differences():
     for i in range(60):
         for j in range(60):
             assert np.bitwise_count((bits[:, i] ^ bits[:, j]).view(np.uint64)).sum() <= len(np.setxor1d(sets[i], sets[j]))
+
+
+def test_ngram_join_frees_keys_and_verifies_in_waves(spark, monkeypatch):
+    alive, at_pairs, waves = set(), [], []
+    save, forget = ngram_join.saved, ngram_join.forget
+
+    def saved(df, name):
+        out = save(df, name)
+        out.called = name
+        alive.add(name)
+        if name == "pairs":
+            at_pairs.append(set(alive))
+        waves.append(name)
+        return out
+
+    def forgotten(*tables):
+        alive.difference_update(t.called for t in tables)
+        forget(*tables)
+
+    monkeypatch.setattr(ngram_join, "saved", saved)
+    monkeypatch.setattr(ngram_join, "forget", forgotten)
+    monkeypatch.setattr(ngram_join, "WAVE", 1, raising=False)
+    rng = np.random.default_rng(15)
+    data = []
+    for i in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 60)]
+        for k in range(4):
+            data.append((4 * i + k, " ".join([*base, *(f"e{x}" for x in rng.integers(0, 10**6, k))])))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert {r["_id"]: (r["n"], r["_component"]) for r in ngram_join.linked(df).collect()} == brute_components(data, 4, 85)
+    assert at_pairs and all(not {"sketch", "keyed", "times"} & x for x in at_pairs)
+    assert waves.count("links") > waves.count("pairs")
