@@ -7,12 +7,13 @@ smallest hash of GRAM bytes. Equal strings have equal anchors, so a suffix at an
 stretch) stands for all strings with this anchor. Anchors that occur once end there. Equal stretches are aggregated before
 anything is sorted, first by each task among those it has met, then by key: they are told by 121 bits of digest, and the
 earliest stands for all. What is left at anchors with different stretches around them is suffix-sorted: sampled splitters
-range-partition it by its leading bytes (then the bytes before the anchor, so no common suffix overfills a bucket), each
-bucket sorts by multikey quicksort, common prefixes of neighbours group equal strings, whose bytes are compared, and groups
-that reach an end of their bucket are compared across buckets.
+range-partition it by the gram at the anchor, so equal strings lie in one bucket. A gram with more stretches than a bucket
+holds is wide: it is split by its further bytes (then the bytes before the anchor, so no common suffix overfills a bucket).
+Each bucket sorts by multikey quicksort, common prefixes of neighbours group equal strings, whose bytes are compared, and
+groups of wide grams that reach an end of their bucket are compared across buckets.
 
-A task that meets an anchor's gram with a second stretch says so once, and deals further ones by stretch, so a phrase in
-many contexts doesn't gather in one task.
+A task that meets an anchor's gram with a second stretch says so once, and deals further ones by stretch, of equal ones the
+first, so neither a phrase in many contexts nor a repeated one gathers in one task.
 
 Defined results: a null text is empty; texts below LENGTH bytes lose nothing; a null id comes after all others; rows that
 repeat an id are separate documents in order of a hash of their texts; rows that repeat both id and text count as one
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import released, saved, table
+from foldwright.llm.common import released, saved, sized, table
 from foldwright.llm.hashing import MIX, PRIME, inverse_powers, mixed, powers, prefix_hashes, span_hash
 
 LENGTH = 100
@@ -80,10 +81,11 @@ SCAN = "_gram long, _body long, _id long, _hash long, _start int, _n int, _rel i
 
 def scan(docs: DataFrame, batch_bytes: int = 1_500_000) -> DataFrame:
     """Stretches of the texts of ``docs`` (_id, _hash, _text) by kind, as far as a task knows: it remembers the first
-    stretch of each gram."""
+    stretch of each gram, and where others start. A worker takes about 200 bytes for each byte of a part, and for each SEEN some 400."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, tuple[int, tuple[int, int, int]]] = {}
+        others: dict[tuple[int, int], tuple[int, int, int]] = {}  # by gram and body
         told: set[int] = set()
         for whole in batches:
             for ids, hashes, texts in _parts(whole, batch_bytes):
@@ -97,20 +99,26 @@ def scan(docs: DataFrame, batch_bytes: int = 1_500_000) -> DataFrame:
                     if first is None or first[0] == body and me < first[1]:
                         seen[gram] = body, me
                     elif first[0] != body:
-                        kind[i] = MANY
+                        twin = others.get((gram, body))
+                        if twin is not None and me > twin:
+                            kind[i] = LATER
+                            continue
+                        kind[i], others[gram, body] = MANY, me
                         if gram not in told:
                             told.add(gram)
                             marks.append(i)
                     elif me > first[1]:
                         kind[i] = LATER
-                if len(seen) > SEEN:
+                if len(seen) + len(others) > SEEN:
                     seen.clear()
+                    others.clear()
                     told.clear()
                 every = np.concatenate([np.arange(len(doc)), np.array(marks, dtype=np.int64)])
                 kind = np.concatenate([kind, np.full(len(marks), MARK, dtype=np.int32)])
                 body = np.where(kind == MARK, ~s["body"][every], s["body"][every])
                 yield pa.RecordBatch.from_arrays([pa.array(s["gram"][every]), pa.array(body), pa.array(doc[every]), pa.array(hsh[every]), *(pa.array(s[c][every].astype(np.int32)) for c in ("start", "n", "rel")), pa.array(kind)], names=[c.split()[0] for c in SCAN.split(", ")])
         seen.clear()
+        others.clear()
         released()
 
     return docs.mapInArrow(run, SCAN)
@@ -163,22 +171,24 @@ def multikey_quicksort(words: np.ndarray) -> np.ndarray:
 FOUND = "_id long, _hash long, _start int, _n int, _k1 long, _k2 long"
 
 
-def resolve(ids: np.ndarray, hashes: np.ndarray, start: np.ndarray, n: np.ndarray, rel: np.ndarray, keys: np.ndarray) -> dict[str, np.ndarray]:
+def resolve(ids: np.ndarray, hashes: np.ndarray, start: np.ndarray, n: np.ndarray, rel: np.ndarray, wide: np.ndarray, keys: np.ndarray) -> dict[str, np.ndarray]:
     """Strings of a bucket's stretches that start earlier elsewhere in it, as runs; strings that may have equals in other
-    buckets (their right part is that of the bucket's first or last suffix) with two hashes instead."""
+    buckets (of ``wide`` grams, with the right part of the bucket's first or last suffix) with two hashes instead."""
     order = multikey_quicksort(keys.view(">u8"))
-    keys, ids, hashes, start, n, rel = (x[order] for x in (keys, ids, hashes, start, n, rel))
+    keys, ids, hashes, start, n, rel, wide = (x[order] for x in (keys, ids, hashes, start, n, rel, wide))
     differ = keys[1:, :RIGHT] != keys[:-1, :RIGHT]
     common = np.where(differ.any(axis=1), differ.argmax(axis=1), RIGHT)  # prefix shared with the row before
     near = np.zeros(len(keys), dtype=np.int64)  # prefix shared with an end of the bucket
-    for end in (0, -1):
+    for end in (0, -1) if wide.any() else ():
         d = keys[:, :RIGHT] != keys[end, :RIGHT]
-        near = np.maximum(near, np.where(d.any(axis=1), d.argmax(axis=1), RIGHT))
+        near = np.maximum(near, np.where(d.any(axis=1), d.argmax(axis=1), RIGHT) * wide)
     rank = np.empty(len(keys), dtype=np.int64)
     rank[np.lexsort((start + rel, hashes, ids))] = np.arange(len(keys))
     h1, h2 = np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.uint64)
-    sums1 = np.zeros((len(keys), RIGHT + 1), np.uint64)
-    sums1[:, 1:] = np.cumsum(mixed(keys[:, :RIGHT].astype(np.uint64) + np.uint64(1)) * powers(RIGHT)[:-1], axis=1)
+    may = near > GRAM  # a right part is longer
+    slot = np.cumsum(may) - 1
+    sums1 = np.zeros((int(may.sum()), RIGHT + 1), np.uint64)
+    sums1[:, 1:] = np.cumsum(mixed(keys[may, :RIGHT].astype(np.uint64) + np.uint64(1)) * powers(RIGHT)[:-1], axis=1)
     late_row, late_at, open_row, open_at, open1, open2 = [], [], [], [], [], []
     for o in range(LEFT + 1):
         if o:
@@ -203,8 +213,9 @@ def resolve(ids: np.ndarray, hashes: np.ndarray, start: np.ndarray, n: np.ndarra
         if across.size:
             open_row.append(across)
             open_at.append(start[across] + rel[across] - o)
-            open1.append(mixed(h1[across] ^ mixed(sums1[across, right])))
-            open2.append(mixed(h2[across] + sums1[across, right] * PRIME + np.uint64(o)))
+            sums = sums1[slot[across], right]
+            open1.append(mixed(h1[across] ^ mixed(sums)))
+            open2.append(mixed(h2[across] + sums * PRIME + np.uint64(o)))
     row, at = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (late_row, late_at))
     by = np.lexsort((at, row))
     row, at = row[by], at[by]
@@ -219,9 +230,9 @@ def resolve(ids: np.ndarray, hashes: np.ndarray, start: np.ndarray, n: np.ndarra
 
 
 def sorted_suffixes(texts: DataFrame, rest: DataFrame, buckets: int) -> DataFrame:
-    """Rows of FOUND for stretches ``rest`` (_id, _hash, _start, _n, _rel); ``texts``: _id, _hash, _raw."""
+    """Rows of FOUND for stretches ``rest`` (_id, _hash, _start, _n, _rel, _wide); ``texts``: _id, _hash, _raw."""
     begin = F.col("_start") + 1
-    full = rest.join(texts, ["_id", "_hash"]).select("_id", "_hash", "_start", "_n", "_rel", F.substring("_raw", begin, F.col("_n") + LENGTH - 1).alias("_content"))
+    full = rest.join(texts, ["_id", "_hash"]).select("_id", "_hash", "_start", "_n", "_rel", "_wide", F.substring("_raw", begin, F.col("_n") + LENGTH - 1).alias("_content"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -234,11 +245,13 @@ def sorted_suffixes(texts: DataFrame, rest: DataFrame, buckets: int) -> DataFram
         if parts:
             b = pd.concat(parts)
             keys = np.frombuffer(b"".join(b["_key"]), dtype=np.uint8).reshape(len(b), -1)
-            yield pd.DataFrame(resolve(*(b[c].to_numpy().astype(np.int64) for c in ("_id", "_hash", "_start", "_n", "_rel")), keys))
+            yield pd.DataFrame(resolve(*(b[c].to_numpy().astype(np.int64) for c in ("_id", "_hash", "_start", "_n", "_rel")), b["_wide"].to_numpy().astype(bool), keys))
+        released()
 
-    # Spark samples the keys of all suffixes for the splitters
-    placed = full.mapInPandas(place, "_id long, _hash long, _start int, _n int, _rel int, _key binary")
-    return placed.repartitionByRange(buckets, "_key").mapInPandas(run, FOUND)
+    # Spark samples the keys of all suffixes for the splitters; all stretches of a gram that isn't wide have one key
+    placed = full.mapInPandas(place, "_id long, _hash long, _start int, _n int, _rel int, _wide boolean, _key binary")
+    by = F.when(F.col("_wide"), F.col("_key")).otherwise(F.substring("_key", 1, GRAM))
+    return placed.repartitionByRange(buckets, by).mapInPandas(run, FOUND)
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, bucket_rows: int = 40_000) -> DataFrame:
@@ -259,9 +272,11 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     body = Window.partitionBy("_part", "_alone", "_body").orderBy("_id", "_hash", "_start")
     me = F.struct("_id", "_hash", "_start")
     seen = dealt.withColumn("_many", (F.col("_kind") == MANY) | (F.min("_body").over(gram) != F.max("_body").over(gram))).withColumn("_gone", (F.col("_kind") == LATER) | (F.first(me).over(body) != me))
-    rest = saved(seen.where((F.col("_kind") != MARK) & (F.col("_gone") | F.col("_many"))).select("_id", "_hash", "_start", "_n", "_rel", "_gone"), "stretches")
+    rest = saved(seen.where((F.col("_kind") != MARK) & (F.col("_gone") | F.col("_many"))).select("_id", "_hash", "_start", "_n", "_rel", "_gone", F.when(~F.col("_gone"), F.col("_gram")).alias("_gram")), "stretches")
     left = rest.where("NOT _gone")
     n = left.count()
+    wide = saved(left.groupBy("_gram").count().where(F.col("count") > bucket_rows).select("_gram", F.lit(True).alias("_wide")), "wide")  # n / bucket_rows at most
+    left = left.join(sized(wide, wide.count()), "_gram", "left").withColumn("_wide", F.coalesce("_wide", F.lit(False)))
     buckets = max(1, -(-n // bucket_rows), min(n // 500, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     raw = F.encode(F.coalesce("_text", F.lit("")), "UTF-8").alias("_raw")
     found = saved(sorted_suffixes(unique.select("_id", "_hash", raw), left, buckets), "found")

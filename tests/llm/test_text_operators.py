@@ -93,6 +93,35 @@ def test_suffix_dedup_of_a_phrase_in_many_contexts(spark, monkeypatch):
     assert got == {(suffix_dedup.NO_ID if i is None else i, len(t)): int(g.sum()) for (i, t, _), g in zip(data, gone, strict=True)}
 
 
+def test_suffix_dedup_compares_across_buckets_only_for_wide_grams(spark, monkeypatch):
+    """Phrases in many contexts and several buckets: a gram's stretches lie in one bucket, unless they are more than it holds."""
+    import random
+
+    rng = random.Random(3)
+    text = lambda k, of: "".join(rng.choice(of) for _ in range(k))
+    phrases = [text(120, "abcdefgh") for _ in range(8)]
+    data = [(i, text(rng.randint(0, 60), "qrs") + phrases[i % 8][rng.randint(0, 10) :] + text(rng.randint(20, 60), "qrs")) for i in range(320)]
+    want = {i: int(g.sum()) for (i, _), g in zip(data, brute_removed([t for _, t in data]), strict=True)}
+    df, kept = spark.createDataFrame(data, "doc_id long, text string").repartition(3), {}
+    save = suffix_dedup.saved
+    monkeypatch.setattr(suffix_dedup, "saved", lambda df, name: kept.setdefault(name, save(df, name)))
+    for bucket_rows, across in ((80, False), (10, True)):
+        kept.clear()
+        out = suffix_dedup.kept_parts(suffix_dedup.deduplicated(df, bucket_rows=bucket_rows), ["_id"], with_kept=False)
+        assert {r["_id"]: r["n_removed"] for r in out.collect()} == want
+        assert kept["stretches"].where("NOT _gone").count() > 2 * bucket_rows
+        assert (kept["found"].where("_n = 0").count() > 0) == across
+
+
+def test_suffix_dedup_scan_knows_later_copies_of_any_stretch(spark):
+    """Of a stretch that a task meets again it deals the first by the stretch, also where the gram was first met with another."""
+    phrase = "".join(hashlib.sha256(bytes([i])).hexdigest() for i in range(2))
+    data = [(0, 0, "x" * 40 + phrase + "y" * 40)] + [(i, i, "z" * 40 + phrase + "w" * 40) for i in range(1, 30)]
+    met = suffix_dedup.scan(spark.createDataFrame(data, "_id long, _hash long, _text string").coalesce(1)).where(f"_kind = {suffix_dedup.MANY}")
+    assert met.count() > 0
+    assert met.groupBy("_gram", "_body").count().where("count > 1").isEmpty()
+
+
 def test_multikey_quicksort():
     w = np.random.default_rng(1).integers(0, 3, (700, 4)).astype(">u8")
     assert (w[suffix_dedup.multikey_quicksort(w)] == w[np.lexsort(w.T[::-1])]).all()
