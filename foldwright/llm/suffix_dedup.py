@@ -40,7 +40,7 @@ WINDOW = LENGTH - GRAM + 1  # grams in a string, and so most strings in a stretc
 RIGHT = LENGTH  # most bytes of a suffix that matter
 LEFT = WINDOW - 1  # most bytes before it
 NO_ID = np.iinfo(np.int64).max
-SEEN = 300_000  # stretches a task remembers
+SEEN = 100_000  # stretches a task remembers
 
 
 def stretches(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> dict[str, np.ndarray]:
@@ -79,7 +79,7 @@ NORMAL, LATER, MANY, MARK = range(4)  # kinds of rows: as they come; an earlier
 SCAN = "_gram long, _body long, _id long, _hash long, _start int, _n int, _rel int, _kind int"
 
 
-def scan(docs: DataFrame, batch_bytes: int = 1_500_000) -> DataFrame:
+def scan(docs: DataFrame, batch_bytes: int = 200_000) -> DataFrame:
     """Stretches of the texts of ``docs`` (_id, _hash, _text) by kind, as far as a task knows: it remembers the first
     stretch of each gram, and where others start. A worker takes about 200 bytes for each byte of a part, and for each SEEN some 400."""
 

@@ -168,35 +168,41 @@ def unlike(docs: list[tuple[list[str], int]]) -> list[tuple[list[str], int]]:
 
 
 def speaking(docs: list[tuple[list[str], int]], least: float) -> tuple[set[str], dict[str, list[str]]]:
-    """The features that speak for toxic documents, and the features of each word.
+    """The features that speak for toxic documents, and those of each word.
 
     A feature speaks when its log odds reach ``least`` and its log likelihood ratio exceeds what the best of as many
     features without meaning would reach.
     """
-    seen: tuple[Counter, Counter] = Counter(), Counter()
+    met: Counter = Counter()  # toxic documents by feature
     of: dict[str, list[str]] = {}
     for words, label in docs:
-        here: set[str] = set()
-        for w in set(words):
-            here.update(of.setdefault(w, features(w)))
-        seen[label].update(here)
+        own = set(words)
+        for w in own:
+            of.setdefault(w, [])
+        if label:
+            met.update({f for w in own for f in features(w)})
+    often = {f: k for f, k in met.items() if k >= 3}
+    clean: Counter = Counter()
+    for words, label in docs:
+        if not label:
+            clean.update({f for w in set(words) for f in features(w) if f in often})
     n = [sum(1 for _, y in docs if y == k) for k in (0, 1)]
-    chance = math.log(max(2, len(seen[1])))
+    chance = math.log(max(2, len(met)))
     out = set()
-    for f, k in seen[1].items():
-        if k >= 3:
-            other = seen[0][f]
-            odds = math.log((k + 0.5) / (n[1] + 1)) - math.log((other + 0.5) / (n[0] + 1))
-            share = n[1] / (n[0] + n[1])
-            ratio = k * math.log(k / ((k + other) * share)) + (other * math.log(other / ((k + other) * (1 - share))) if other else 0)
-            if odds >= least and ratio >= chance:
-                out.add(f)
-    return out, of
+    for f, k in often.items():
+        other = clean[f]
+        odds = math.log((k + 0.5) / (n[1] + 1)) - math.log((other + 0.5) / (n[0] + 1))
+        share = n[1] / (n[0] + n[1])
+        ratio = k * math.log(k / ((k + other) * share)) + (other * math.log(other / ((k + other) * (1 - share))) if other else 0)
+        if odds >= least and ratio >= chance:
+            out.add(f)
+    return out, {w: [f for f in features(w) if f in out] for w in of}
 
 
 def train(rows: list[tuple[str | None, int]], least: float = 2.5, rounds: int = 40, penalty: float = 0.02) -> Field:
     """The field for labelled texts (0 clean, 1 toxic)."""
-    docs = [(tokens(t), int(y)) for t, y in rows]
+    one: dict[str, str] = {}  # of each word, else most of the memory
+    docs = [([one.setdefault(w, w) for w in tokens(t)], int(y)) for t, y in rows]
     if {y for _, y in docs} != {0, 1}:
         return Field()
     docs = unlike(docs)

@@ -307,3 +307,24 @@ def test_toxicity_odd_rows(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, sf_dir, tmp_path, name):
     assert differences(spark, sf_dir, queries.QUERIES[name], queries.ORACLE_SQL[name], str(tmp_path / "out")) == [0, 0]
+
+
+def test_toxicity_training_keeps_each_word_and_few_features():
+    """Words that repeat are held once, and of clean words only the features that toxic ones have."""
+    import random
+    import tracemalloc
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(10))
+    clean = [word() for _ in range(4000)]
+    rows = [(" ".join(rng.choice(clean) for _ in range(200)), 0) for _ in range(150)] + [(" ".join([rng.choice(clean), f"vile{k}", "vilest"] * 5), 1) for k in range(20)]
+    docs = [(toxicity.tokens(t), y) for t, y in rows]
+    tracemalloc.start()
+    try:
+        strong, of = toxicity.speaking(docs, 2.5)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert any(f.startswith("^vil") for f in strong)
+    assert all(set(fs) == set(toxicity.features(w)) & strong for w, fs in of.items())
+    assert peak < 4e6

@@ -122,6 +122,24 @@ def test_suffix_dedup_scan_knows_later_copies_of_any_stretch(spark):
     assert met.groupBy("_gram", "_body").count().where("count > 1").isEmpty()
 
 
+def test_suffix_dedup_scan_takes_little_memory():
+    """A worker's part of a batch is small, whatever the batch is."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    texts = ["".join(hashlib.sha256(bytes([i, k])).hexdigest() for k in range(80)) for i in range(250)]
+    ids = pa.array(range(len(texts)), pa.int64())
+    run = suffix_dedup.scan(SimpleNamespace(mapInArrow=lambda run, _: run))
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in run(iter([pa.RecordBatch.from_arrays([ids, ids, pa.array(texts)], names=["_id", "_hash", "_text"])]))) > 0
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_multikey_quicksort():
     w = np.random.default_rng(1).integers(0, 3, (700, 4)).astype(">u8")
     assert (w[suffix_dedup.multikey_quicksort(w)] == w[np.lexsort(w.T[::-1])]).all()
