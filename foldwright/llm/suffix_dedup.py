@@ -185,7 +185,7 @@ def resolve(ids: np.ndarray, hashes: np.ndarray, start: np.ndarray, n: np.ndarra
     rank = np.empty(len(keys), dtype=np.int64)
     rank[np.lexsort((start + rel, hashes, ids))] = np.arange(len(keys))
     h1, h2 = np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.uint64)
-    may = near > GRAM  # a right part is longer
+    may = near >= GRAM  # right parts have as much
     slot = np.cumsum(may) - 1
     sums1 = np.zeros((int(may.sum()), RIGHT + 1), np.uint64)
     sums1[:, 1:] = np.cumsum(mixed(keys[may, :RIGHT].astype(np.uint64) + np.uint64(1)) * powers(RIGHT)[:-1], axis=1)

@@ -140,6 +140,20 @@ def test_suffix_dedup_scan_takes_little_memory():
         tracemalloc.stop()
 
 
+def test_suffix_dedup_string_that_ends_with_its_gram_meets_its_equal_across_buckets():
+    """Its right part is the gram alone; the bucket's first suffix is of another wide gram."""
+    gram, other, left = b"g" * 30, b"a" * 30, [bytes([65 + k]) * 70 for k in range(5)]
+
+    def found(content):
+        k, rel = len(content), np.full(len(content), 70)
+        got = suffix_dedup.resolve(np.arange(k), np.arange(k), np.zeros(k, np.int64), np.full(k, 2), rel, np.ones(k, dtype=bool), suffix_dedup.keys_of(content, rel))
+        return {(int(a), int(b)) for i, n, s, a, b in zip(*(got[c] for c in ("_id", "_n", "_start", "_k1", "_k2")), strict=True) if (i, n, s) == (1, 0, 0)}
+
+    one = found([left[0] + other + b"a", left[1] + gram + b"m", left[2] + gram + b"z"])
+    assert len(one) == 1
+    assert one == found([left[3] + gram + b"b", left[1] + gram + b"n", left[4] + gram + b"y"])
+
+
 def test_multikey_quicksort():
     w = np.random.default_rng(1).integers(0, 3, (700, 4)).astype(">u8")
     assert (w[suffix_dedup.multikey_quicksort(w)] == w[np.lexsort(w.T[::-1])]).all()
