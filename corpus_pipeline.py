@@ -8,11 +8,14 @@ document of which a stage leaves no text goes, one that came without text stays.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwright.llm import mixing, ngram_join, packing, suffix_dedup, toxicity
-from foldwright.llm.common import saved, sized, table
+from foldwright.llm.common import heaps_trimmed, saved, sized, table
 
 #: No SQL expresses training, suffix sorting and packing; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -20,6 +23,17 @@ ORACLE_SQL = None
 WORDS, PERCENT = 5, 80  # near copies: shingles of five words, a similarity of 0.8
 
 
+def trimmed(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage on executors that have first given back the heap of earlier ones: their Python workers need it."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        heaps_trimmed(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def carried(docs: DataFrame, **columns: Column) -> DataFrame:
     """The rows of ``docs`` as one struct ``_row``, whatever their columns are called, beside ``columns``."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *(c.alias(n) for n, c in columns.items()))
@@ -29,6 +43,7 @@ def restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
+@trimmed
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.3. The field learns from the labelled rows outside the held-out quarter."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), use=toxicity.fold_of(F.col("_id")) != 2)
@@ -38,6 +53,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.tag(docs, model, out_col=out).where(F.col(f"{out}.score") < 0.3).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+@trimmed
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near copies; of rows repeating id and text, one.
 
@@ -74,6 +90,7 @@ def one_of_each(rows: DataFrame, repeated: bool = True) -> DataFrame:
     return left.dropDuplicates(["_key"])
 
 
+@trimmed
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without strings of 100 bytes that also start earlier; characters stay whole."""
     carried = {c: f"_carried_{i}_" for i, c in enumerate(c for c in docs.columns if c != "text")}
@@ -86,6 +103,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return out.select(*(new.get(c, F.col(carried.get(c, c))).alias(c) for c in docs.columns))
 
 
+@trimmed
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, each as often as the method's seeded blocks take its words, rounded to whole times so that each source's
     words come near its target; so some go.
@@ -98,6 +116,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return restored(joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))), docs)
 
 
+@trimmed
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens with their sequence and place, and the ids."""
     import public_tokenizers

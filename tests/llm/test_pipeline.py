@@ -147,3 +147,14 @@ def test_empty_tables(spark, folder):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, folder).count() == 0
+
+
+def test_stages_give_heap_back(spark, folder):
+    """Each stage has executors collect their garbage first; with a local master that is the JVM at hand."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = spark.createDataFrame([], SCHEMA)
+    for name, stage in pipeline.STAGES:
+        before = full()
+        stage(spark, docs, folder)
+        assert full() > before, name
