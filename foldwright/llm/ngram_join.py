@@ -8,7 +8,8 @@ proportion to its size.
 
 Links only matter between components, so rounds with a leader of each key first join what is plainly near. Then sets
 that share a key in different components meet if sizes and 256-bit parities of the sets allow a link, and are verified on
-whole sets. A key with more than HOT members is not met pair by pair. It is split by further tokens: its members are
+whole sets. A key with more than HOT members is not met pair by pair. It is split by the sizes of the sets first, as similar
+sets have similar sizes. What still has more than HOT members is split by further tokens: its members are
 compared with one leader, and two that link are either both linked to the leader, or share a token of their differences
 from it. Prefixes of these differences (rare ones first) are the new keys. So a large group of near copies, linked or not,
 emits neither all its pairs nor loses a link.
@@ -19,7 +20,8 @@ has no links and a null component; rows that repeat an id count as linked; repea
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -216,6 +218,21 @@ def exploded(classes: DataFrame) -> DataFrame:
     return classes.select("_id", "_keys").mapInArrow(run, "_key long, _id long")
 
 
+def banded(index: DataFrame, sizes: DataFrame, percent: int, hot: int) -> DataFrame:
+    """(_key, _id, _times, _guest) from (_key, _id, _times): keys of more than ``hot`` members are split by size.
+
+    A set is in the band of its size and a guest in the next lower one. Of two similar sets the larger is in the band of the smaller
+    or in the next, so they meet in one group, once, if two guests don't count. ``sizes``: (_id, n).
+    """
+    width = max(1e-6, 1.001 * math.log(100 / percent))  # a little wide, so that rounding loses none
+    band = F.floor(F.ln("n") / width)
+    rows = index.where(F.col("_times") > hot).join(sizes, "_id").select("_id", "_key", F.posexplode(F.array(band, band - 1)).alias("_guest", "_band"))
+    rows = rows.select(F.xxhash64("_key", "_band").alias("_key"), "_id", (F.col("_guest") == 1).alias("_guest"))
+    times = rows.groupBy("_key").agg(F.count("*").alias("_times"), F.min("_guest").alias("_none")).where("_times > 1 AND NOT _none").drop("_none")
+    few = index.where(F.col("_times") <= hot).withColumn("_guest", F.lit(False))
+    return few.unionByName(rows.join(times, "_key"))
+
+
 def difference(x: np.ndarray, lead: np.ndarray, scheme: Scheme) -> tuple[bool, np.ndarray, int]:
     """Whether two sets link; their difference, in the order of ``lead``'s differences, as far as any set that links
     with x can need it; and how many of it a set must index.
@@ -336,12 +353,18 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     repeats = saved(members.groupBy("_doc").agg(F.min("_id").alias("_b"), F.max("_id").alias("_high"), F.count("*").alias("_c")).where("_c > 1"), "repeats")
     unique = repeats.isEmpty()
     times = saved(exploded(keyed).groupBy("_key").agg(F.count("*").alias("_times")).where("_times > 1"), "times")
-    index = saved(exploded(keyed).join(times, "_key"), "index")
+    stored = saved(exploded(keyed).join(times, "_key"), "index")
     forget(keyed, times)
+    if not stored.where(F.col("_times") > hot).isEmpty():
+        whole, stored = stored, saved(banded(stored, classes.select("_id", "n"), percent, hot), "banded")
+        forget(whole)
+        index = stored
+    else:
+        index = stored.withColumn("_guest", F.lit(False))
     of_hot = index.groupBy("_id").agg(F.sum((F.col("_times") > hot).cast("long")).alias("_hot"))
     need = saved(classes.select("_id", F.col("n").alias("_n"), "_often", *PARITY).join(of_hot, "_id"), "need")
     n_need = need.count()
-    spare = [index, need]  # tables that the result doesn't read
+    spare = [stored, need]  # tables that the result doesn't read
     label = need.withColumn("_component", F.col("_id"))
 
     def bounded(a: str, b: str) -> Column:
@@ -374,10 +397,16 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
         sets = sets_of(pairs.select(F.explode(F.array("_a", "_b")).alias("_id")))
         n, bytes_ = sets.agg(F.count("*"), F.sum(F.octet_length("_set"))).first()
         waves = -(-pairs.count() * (bytes_ or 0) // (max(1, n) * at_once)) or 1  # a set moves once for each of its pairs
-        new = reduce(DataFrame.unionByName, [saved(verified(*part, percent), "links") for part in in_waves(pairs, sets, waves)])
+        new = _union(saved(verified(*part, percent), "links") for part in in_waves(pairs, sets, waves))
         forget(pairs, sets)
         return new
 
+    def apart_of(led: DataFrame) -> DataFrame:
+        sets = sets_of(led.select("_id").unionByName(led.select(F.col("_lead").alias("_id"))))
+        spare.append(rows := saved(split(led, sets, scheme), "apart"))
+        forget(sets)
+        return rows
+
     links: DataFrame | None = None
 
     def grown(new: DataFrame) -> DataFrame:
@@ -387,11 +416,17 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
         spare.append(out := saved(need.join(links.select(F.col("_a").alias("_id"), F.col("_b").alias("_component")), "_id", "left").withColumn("_component", F.coalesce("_component", "_id")), "labels"))
         return out
 
-    def mixed_keys(rows: DataFrame) -> DataFrame:
-        """The rows of keys whose members lie in several components, with all of their labels."""
-        rows = rows.join(sized(label, n_need, 200_000), "_id")
-        several = rows.groupBy("_key").agg(F.min("_component").alias("_low"), F.max("_component").alias("_high")).where("_low <> _high").select("_key")
-        return rows.join(several, "_key")
+    def mixed_keys(rows: DataFrame, *columns: str) -> DataFrame:
+        """The rows of keys whose members lie in several components, with all of their labels, or these columns; keys by waves."""
+        waves = -(-rows.count() * 16 // at_once) or 1
+        return _union(mixed_keys_of(rows.where(F.pmod(F.xxhash64("_key"), F.lit(waves)) == w) if waves > 1 else rows, columns) for w in range(waves))
+
+    def mixed_keys_of(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+        own = rows.join(sized(label.select("_id", "_component"), n_need, 200_000), "_id").groupBy("_key")
+        several = own.agg(F.min("_component").alias("_low"), F.max("_component").alias("_high")).where("_low <> _high").select("_key")
+        rows = rows.join(several, "_key").join(sized(label, n_need, 200_000), "_id")
+        spare.append(rows := saved(rows.select(*columns) if columns else rows, "met"))
+        return rows
 
     if not unique:  # rows that repeat an id are linked
         twice = repeats.where("_b <> _high").select("_doc", "_b")
@@ -412,24 +447,24 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
             label = grown(new)
 
         apart: DataFrame | None = None
-        groups = saved(mixed_keys(index.where(F.col("_times") > hot)).select("_key", "_id", "_often", "_hot"), "hot")
+        groups = mixed_keys(index.where(F.col("_times") > hot), "_key", "_id", "_often", "_hot")
         if not groups.isEmpty():
             # the member with the most hot keys leads: of near copies, one that has what most have
             lead = groups.groupBy("_key").agg(F.max_by("_id", F.struct("_hot", "_often", F.xxhash64("_id"))).alias("_lead"))
             led = saved(groups.select("_key", "_id").join(lead, "_key").where("_id <> _lead").select("_id", "_lead").distinct(), "led")
-            sets = sets_of(led.select("_id").unionByName(led.select(F.col("_lead").alias("_id"))))
-            spare.append(apart := saved(split(led, sets, scheme), "apart"))
-            forget(led, sets)
+            moved = led.join(sized(need.select("_id", "_n"), n_need, 200_000), "_id").agg(F.sum("_n")).first()[0] or 0
+            waves = -(-8 * moved // at_once) or 1  # a set moves once for each of its leaders
+            apart = _union(apart_of(led.where(F.pmod(F.xxhash64("_lead"), F.lit(waves)) == w) if waves > 1 else led) for w in range(waves))
+            forget(led)
             new = saved(apart.where("_key IS NULL AND _linked").select(F.col("_id").alias("_a"), F.col("_lead").alias("_b")), "links")
             label = grown(new) if not new.isEmpty() else label
-        forget(groups)
 
-        spare.append(now := saved(mixed_keys(index.where(F.col("_times") <= hot)).drop("_times"), "now"))
+        now = mixed_keys(index.where(F.col("_times") <= hot).drop("_times"))
         two = (F.col("x._id") < F.col("y._id")) & bounded("x", "y")
-        pairs = now.alias("x").join(now.alias("y"), (F.col("x._key") == F.col("y._key")) & two)
+        pairs = now.alias("x").join(now.alias("y"), (F.col("x._key") == F.col("y._key")) & two & ~(F.col("x._guest") & F.col("y._guest")))
         pairs = pairs.groupBy(F.col("x._id").alias("_a"), F.col("y._id").alias("_b")).agg(F.count("*").alias("_shared"), F.first(least("x", "y")).alias("_least")).where("_shared >= _least").select("_a", "_b")
         if apart is not None:
-            spare.append(rest := saved(mixed_keys(apart.where("_key IS NOT NULL").drop("_lead")), "rest"))
+            rest = mixed_keys(apart.where("_key IS NOT NULL").drop("_lead"))
             # of two, one at least does not link to the lead; it may look where it does not index
             roles = (~F.col("x._linked") | ~F.col("y._linked")) & (F.col("x._own") | F.col("y._own")) & (F.col("x._own") | F.col("y._linked")) & (F.col("y._own") | F.col("x._linked"))
             more = rest.alias("x").join(rest.alias("y"), (F.col("x._key") == F.col("y._key")) & two & roles)
@@ -446,6 +481,10 @@ def linked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     return whole.unionByName(alone)
 
 
+def _union(parts: Iterable[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, list(parts))
+
+
 def _digests(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     digest = [xxhash.xxh3_128_intdigest(p.tobytes()) for p in parts]
     return tuple(np.array([d >> k & (2**64 - 1) for d in digest], dtype=np.uint64).view(np.int64) for k in (0, 64))

@@ -466,3 +466,20 @@ def test_ngram_join_frees_keys_and_verifies_in_waves(spark, monkeypatch):
     assert {r["_id"]: (r["n"], r["_component"]) for r in ngram_join.linked(df).collect()} == brute_components(data, 4, 85)
     assert at_pairs and all(not {"sketch", "keyed", "times"} & x for x in at_pairs)
     assert waves.count("links") > waves.count("pairs")
+
+
+def test_ngram_join_splits_hot_keys_by_size_first(spark, monkeypatch):
+    """Passages in texts of several lengths make large keys; their members are not all held against a leader."""
+    compared = []
+    split = ngram_join.split
+    monkeypatch.setattr(ngram_join, "split", lambda pairs, *rest: compared.append(pairs.count()) or split(pairs, *rest))
+    rng = np.random.default_rng(16)
+    passages = [" ".join(f"p{k}x{i}" for i in range(40)) for k in range(16)]
+    data = []
+    for i in range(400):
+        base = [passages[k] for k in sorted(rng.choice(16, (1, 2, 4, 8)[i % 4], replace=False))]
+        data.append((i, " ".join([*base, *(f"e{x}" for x in rng.integers(0, 10**6, i % 3))])))
+    df = spark.createDataFrame(data, "doc_id long, text string").coalesce(1)
+    got = {r["_id"]: (r["n"], r["_component"]) for r in ngram_join.linked(df, hot=75, rounds=0).collect()}
+    assert got == brute_components(data, 4, 85)
+    assert sum(compared) == 0
