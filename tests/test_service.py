@@ -130,3 +130,57 @@ def test_batch_states_go_on(spark):
     again = batch.by_fold(_log(spark, rows[1:]), states=states).collect()
     assert [r["status"] for r in again] == ["processed"] * 3 + ["state"]
     assert json.loads(again[-1]["error"])["revision"] == 4  # the repeated event counts once
+
+
+def test_stream_asks_for_its_state_once_a_bucket(spark, tmp_path):
+    """Aggregates of a bucket share one read and one write of the state, and one timer where theirs are equal."""
+
+    class Held:
+        def __init__(self):
+            self.calls, self.now = [], None
+
+        def get(self):
+            self.calls.append("get")
+            return self.now
+
+        def update(self, new):
+            self.calls.append("update")
+            self.now = new
+
+        def clear(self):
+            self.calls.append("clear")
+            self.now = None
+
+    class Handle:
+        timers = set()
+
+        def getValueState(self, *a):  # noqa: N802
+            return held
+
+        def registerTimer(self, ms):  # noqa: N802
+            self.timers.add(ms)
+
+        def deleteTimer(self, ms):  # noqa: N802
+            self.timers.discard(ms)
+
+    class Clock:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentProcessingTimeInMs(self):  # noqa: N802
+            return self.ms
+
+        getExpiryTimeInMs = getCurrentProcessingTimeInMs  # noqa: N815
+
+    held, folding = Held(), stream.Bucketed()
+    folding.init(Handle())
+    log = [r.asDict(recursive=True) for r in _log(spark, [(1, "c"), (2, "u"), (3, "d")]).collect()]
+    feed = lambda ms, *events: [json.loads(r.change) for r in folding.handleInputRows((1,), iter([{"event": json.dumps(e | {"aggregate": a})} for a, e in events]), Clock(ms))]
+    assert [(r["aggregate"], r["status"]) for r in feed(0, ("a", log[1]), ("b", log[1]), ("c", log[0]))] == [("a", "failed"), ("b", "failed"), ("c", "processed")]
+    assert held.calls == ["get", "update"] and len(Handle.timers) == 1
+    (at,) = Handle.timers
+    assert [r["status"] for r in feed(1, ("a", log[0]))] == ["processed"] * 2 and Handle.timers == {at}  # b still waits
+    Handle.timers.clear()
+    assert not list(folding.handleExpiredTimer((1,), Clock(at), Clock(at))) and len(Handle.timers) == 1
+    feed(2, ("a", log[2]), ("c", log[2]), ("b", log[0]))
+    assert [r["status"] for r in feed(3, ("b", log[2]))] == ["processed"] and held.now is None and not Handle.timers
